@@ -1,5 +1,5 @@
 """Column expressions."""
 
-from sumtrail.functions.money import SCALE, net_price
+from sumtrail.functions.money import amount, net_price
 
-__all__ = ["SCALE", "net_price"]
+__all__ = ["amount", "net_price"]

@@ -3,20 +3,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ten-thousandths in one unit of currency, the scale of net_price.
+# Ten-thousandths in one unit of currency.
 SCALE = 10_000
 
 
-def net_price(price: str, discount: str) -> Column:
-    """``price * (1 - discount)``, exactly, as a whole number of ten-thousandths.
+def net_price(price: str, discount: str) -> tuple[Column, Column]:
+    """``price * (1 - discount)``, exactly, as whole units and ten-thousandths.
 
     Both inputs hold hundredths in floating point. Adding doubles gives a last
     digit that depends on the order of the additions, so a retried task could
-    change a total; whole numbers add up to the same value in any order. The
-    result is a decimal so that its sums may exceed a bigint, but it is computed
-    from bigints because casting doubles to decimals is slow. Prices must stay
-    below 1e13, where doubles still tell hundredths apart.
+    change a total; bigints add up to the same value in any order, and faster
+    than decimals. Two parts leave their sums far more room than one bigint.
+    Prices must stay below 1e13, where doubles still tell hundredths apart.
     """
     cents = F.rint(F.col(price) * 100).cast("bigint")
     percent = F.rint(F.col(discount) * 100).cast("bigint")
-    return (cents * (100 - percent)).cast("decimal(18,0)")
+    net = cents * (100 - percent)
+    return F.call_function("div", net, F.lit(SCALE)), net % SCALE
+
+
+def amount(units: str, parts: str) -> Column:
+    """The decimal that sums of the two columns of ``net_price`` stand for."""
+    return F.col(units).cast("decimal(19,0)") + F.col(parts).cast("decimal(19,0)") / SCALE

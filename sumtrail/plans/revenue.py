@@ -5,10 +5,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumtrail.functions import SCALE, net_price
+from sumtrail.functions import amount, net_price
 from sumtrail.operators import join_totals
 
-TOTALS = ("revenue", "n_lines")
+TOTALS = ("units", "parts", "n_lines")
 
 
 def nation_revenue(
@@ -25,9 +25,11 @@ def nation_revenue(
     if since is not None:
         orders = orders.filter(F.col("o_orderdate") >= F.lit(since))
 
+    units, parts = net_price("l_extendedprice", "l_discount")
     lines = lineitem.select(
         "l_orderkey",
-        net_price("l_extendedprice", "l_discount").alias("revenue"),
+        units.alias("units"),
+        parts.alias("parts"),
         F.lit(1).cast("bigint").alias("n_lines"),
     )
     # No broadcast hints: Spark broadcasts a table only when its size is below
@@ -38,7 +40,9 @@ def nation_revenue(
 
     per_order = join_totals(lines, "l_orderkey", orders, "o_orderkey", TOTALS)
     per_customer = join_totals(per_order, "o_custkey", customers, "c_custkey", TOTALS)
-    return per_customer.groupBy("n_name").agg(
-        F.round(F.sum("revenue") / SCALE, 2).cast("double").alias("revenue"),
-        F.sum("n_lines").alias("n_lines"),
+    per_nation = per_customer.groupBy("n_name").agg(*[F.sum(c).alias(c) for c in TOTALS])
+    return per_nation.select(
+        "n_name",
+        F.round(amount("units", "parts"), 2).cast("double").alias("revenue"),
+        "n_lines",
     )
