@@ -176,6 +176,21 @@ def test_result_does_not_depend_on_partitioning(spark, parts):
     assert sorted(nation_revenue(*shuffled).collect()) == expected
 
 
+@pytest.mark.parametrize(
+    "setting, value",
+    [("spark.sql.ansi.enabled", "false"), ("spark.sql.session.timeZone", "Pacific/Auckland")],
+)
+def test_result_does_not_depend_on_session_settings(spark, setting, value):
+    tables = small(**CASES["ends in half a cent"])
+    since = DAY.date()
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, value)
+    try:
+        assert run(spark, tables, since) == brute_force(tables, since)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_since_equals_sql(spark):
     folder = "/root/testdata/sf0.01"
     tables = [read_table(spark, folder, t) for t in ("lineitem", "orders", "customer", "nation")]
