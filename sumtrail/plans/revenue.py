@@ -24,6 +24,9 @@ def nation_revenue(
     """
     if since is not None:
         orders = orders.filter(F.col("o_orderdate") >= F.lit(since))
+    orders = orders.select("o_orderkey", "o_custkey")
+    customer = customer.select("c_custkey", "c_nationkey")
+    nation = nation.select("n_nationkey", "n_name")
 
     units, parts = net_price("l_extendedprice", "l_discount")
     lines = lineitem.select(

@@ -156,6 +156,12 @@ def test_one_order_with_a_third_of_the_lines(spark, shuffled_joins):
     assert got == expected
 
 
+def test_other_columns_do_not_matter(spark):
+    tables = frames(spark, small())
+    wider = [t.selectExpr("*", "1 AS units", "2 AS parts", "3 AS n_lines") for t in tables]
+    assert sorted(nation_revenue(*wider).collect()) == sorted(nation_revenue(*tables).collect())
+
+
 def test_totals_beyond_a_bigint(spark):
     lines = spark.range(2_000).selectExpr(
         "1L AS l_orderkey", "9e11D AS l_extendedprice", "0D AS l_discount"
