@@ -28,6 +28,8 @@ WORDS = 5
 PERCENT = 75
 # Sets are compared by this many bits before they are compared exactly.
 BITMAP_LONGS = 8
+# Members of a list that all others are compared with first.
+PIVOTS = 6
 # Bytes of text that are packed together in the screen.
 PACK_BYTES = 16 << 20
 # Up to so many ids are broadcast; more are shuffled.
@@ -239,8 +241,8 @@ def _too_far(x: str, y: str) -> str:
 def _linked(sets: DataFrame) -> DataFrame:
     """``id`` and ``component`` of the documents in ``sets`` that have a link.
 
-    First every group is compared with the first group of each of its prefix elements,
-    and every member with the first of its group. Then all pairs are compared that are
+    First every group is compared with a few pivots of each of its prefix elements, and
+    every member with the first of its group. Then all pairs are compared that are
     not in one component by these links. So members of a large group of copies take a
     few comparisons each, and no link between different components is missed.
     """
@@ -250,10 +252,18 @@ def _linked(sets: DataFrame) -> DataFrame:
     heads = sets.drop("bitmap").join(member.filter("doc_id = gid").select("doc_id", "gid", "members", "bitmap"), "doc_id")
     index = written(heads.select("gid", "members", "n", "lone", "bitmap", F.posexplode("prefix").alias("at", "h")), "prefixes")
 
-    first = index.groupBy("h").agg(F.min(F.struct("n", "gid")).alias("first"))
-    to_first = index.join(first, "h").select(F.col("gid").alias("a"), F.col("first.gid").alias("b"))
+    # Pivots are the least by several hashes of the id, so lists of like members share them.
+    pivots = index.groupBy("h").agg(*[F.min(F.struct(F.xxhash64("gid", F.lit(k)), "gid")).alias(f"p{k}") for k in range(PIVOTS)])
+    pivots = pivots.select("h", F.array_distinct(F.array(*[f"p{k}.gid" for k in range(PIVOTS)])).alias("pivots"))
+    to_pivot = index.join(pivots, "h").select(F.col("gid").alias("a"), F.explode("pivots").alias("b"))
     to_head = member.select(F.col("doc_id").alias("a"), F.col("gid").alias("b"))
-    pairs = to_first.union(to_head).filter("a != b").distinct()
+    pairs = to_pivot.union(to_head).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = (
+        pairs.join(member.alias("x"), F.col("a") == F.col("x.doc_id"))
+        .join(member.alias("y"), F.col("b") == F.col("y.doc_id"))
+        .filter(f"100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) and not ({_too_far('x', 'y')})")
+        .select("a", "b")
+    )
     known = written(connected_components(_verified(pairs, sets)), "components")
 
     part = known.withColumnRenamed("id", "doc_id")
