@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from sumtrail.llm.bpe import op4_bpe
+from sumtrail.llm.decontaminate import op5_decontaminate
 from sumtrail.llm.jaccard import op6_jaccard
 from sumtrail.llm.langid import op7_language_id
+from sumtrail.llm.secrets import op10_secrets
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
+    "op5_decontaminate": op5_decontaminate,
     "op6_jaccard": op6_jaccard,
     "op7_language_id": op7_language_id,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
