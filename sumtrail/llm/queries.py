@@ -5,18 +5,22 @@ from __future__ import annotations
 from sumtrail.llm.binary import op8_token_files
 from sumtrail.llm.bpe import op4_bpe
 from sumtrail.llm.decontaminate import op5_decontaminate
+from sumtrail.llm.fingerprints import op9_fingerprints
 from sumtrail.llm.jaccard import op6_jaccard
 from sumtrail.llm.langid import op7_language_id
 from sumtrail.llm.secrets import op10_secrets
 from sumtrail.llm.substrings import op1_substrings
+from sumtrail.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_substrings": op1_substrings,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard": op6_jaccard,
     "op7_language_id": op7_language_id,
     "op8_token_files": op8_token_files,
+    "op9_fingerprints": op9_fingerprints,
     "op10_secrets": op10_secrets,
 }
 

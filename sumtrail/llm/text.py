@@ -50,6 +50,7 @@ def _byte_values(lower: bool) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -73,11 +74,12 @@ class Words:
     each word, and the words of text ``i`` are ``first[i]`` to ``first[i + 1]``.
     """
 
-    def __init__(self, texts: Sequence[bytes], lower: bool) -> None:
+    def __init__(self, texts: Sequence[bytes], lower: bool, alnum: bool = False) -> None:
+        """With ``alnum`` any ASCII character but a letter or digit separates words."""
         self.data = b" ".join(texts)
         raw = np.frombuffer(self.data, dtype=np.uint8)
         space = np.ones(len(raw) + 2, dtype=bool)
-        space[1:-1] = _SPACE[raw]
+        space[1:-1] = (_NOT_ALNUM if alnum else _SPACE)[raw]
         change = np.flatnonzero(space[1:] != space[:-1])
         self.start, self.end = change[0::2], change[1::2]
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
