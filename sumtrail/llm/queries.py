@@ -11,9 +11,11 @@ from sumtrail.llm.langid import op7_language_id
 from sumtrail.llm.secrets import op10_secrets
 from sumtrail.llm.substrings import op1_substrings
 from sumtrail.llm.toxicity import op3_toxicity
+from sumtrail.llm.wrappers import op2_main_text
 
 QUERIES = {
     "op1_substrings": op1_substrings,
+    "op2_main_text": op2_main_text,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_decontaminate": op5_decontaminate,
