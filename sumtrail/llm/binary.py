@@ -146,7 +146,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, doc_id: str = "do
                     names, parts, held = [], [], 0
                 if r != place["range"]:
                     place.update(range=int(r), number=0, start=0)
-                ids = np.append(enc.tokens(value if isinstance(value, str) else "").ids, end_id).astype(np.uint32)
+                ids = np.append(enc.word_ids(value if isinstance(value, str) else ""), end_id).astype(np.uint32)
                 names.append(name)
                 parts.append(ids)
                 held += len(ids)

@@ -16,6 +16,7 @@ import hashlib
 import os
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,11 @@ PART_CHARS = 1 << 16
 # First width of the window on either side of a join.
 WINDOW_CHARS = 32
 # Words whose tokens a task remembers at a time, and the longest of them.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 MEMO_CHARS = 64
 
 # Punctuation that often follows a word.
-_CLOSING = ".,;:!?#*$%&"
+_CLOSING = b".,;:!?#*$%&"
 
 _SPACE = np.zeros(128, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -72,65 +73,94 @@ class TreeEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         self.ids, self.spans = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.first, self.used = np.zeros(1 << 16, np.int64), 0
 
-    def _store(self, word: str, ids, spans) -> None:
-        n = len(ids)
-        if self.used + n > len(self.ids):
-            size = 2 * (self.used + n)
-            self.ids, self.spans = np.resize(self.ids, size), np.resize(self.spans, size)
-        self.ids[self.used : self.used + n] = ids
-        self.spans[self.used : self.used + n] = spans
-        self.used += n
-        k = self.number[word] = len(self.number)
-        if k + 1 >= len(self.first):
-            self.first = np.resize(self.first, 2 * len(self.first))
-        self.first[k + 1] = self.used
-
-    def _learn(self, words: list[str]) -> None:
+    def _store(self, words: list[bytes], n: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> None:
+        """Add words of ``n`` tokens each, whose ids and spans follow each other."""
+        count, used = len(self.number), self.used + len(ids)
+        if used > len(self.ids):
+            self.ids, self.spans = np.resize(self.ids, 2 * used), np.resize(self.spans, 2 * used)
+        if count + len(words) >= len(self.first):
+            self.first = np.resize(self.first, 2 * (count + len(words)) + 1)
+        self.ids[self.used : used], self.spans[self.used : used] = ids, spans
+        self.first[count + 1 : count + 1 + len(words)] = self.used + np.cumsum(n)
+        self.number.update(zip(words, range(count, count + len(words)), strict=True))
+        self.used = used
+
+    def _learn(self, words: list[bytes]) -> None:
         """Have the library encode the parts of ``words`` that are not known yet.
 
         Punctuation after a letter is a part of its own, since the library splits there,
         and a word of ASCII letters has the tokens of its lower case.
         """
-        number, parts, fresh = self.number, [], {}
+        whole, cores, rests, shifts, fresh = [], [], [], [], {}
         for word in words:
             core = word.rstrip(_CLOSING)
+            if core.isalpha():  # of bytes: ASCII letters
+                size, core = len(core), core.lower()
+            elif core != word and core:
+                text = core.decode()
+                if text[-1].lower().isalpha():
+                    size = len(text)
+                else:
+                    core = word
+            else:
+                core = word
             rest = word[len(core) :]
-            if not rest or not core or not core[-1].lower().isalpha():
-                core, rest = word, ""
-            if core.isascii() and core.isalpha():
-                core = core.lower()
-            parts.append((word, core, rest))
-            if core not in number:
-                fresh[core] = None
-            if rest and rest not in number:
+            fresh[core] = None
+            if rest:
                 fresh[rest] = None
-        if fresh:
-            new = list(fresh)
-            e = self.tokenizer.encode("\n".join(new), add_special_tokens=False)
-            begins = np.cumsum([0, *(len(w) + 1 for w in new)])
-            spans = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-            cut = np.searchsorted(spans[:, 0], begins).tolist()
-            ids = np.array(e.ids, dtype=np.int32)
+            if rest or core != word:
+                whole.append(word)
+                cores.append(core)
+                rests.append(rest)
+                shifts.append(size)
+        new = [w for w in fresh if w not in self.number]
+        if new:
+            texts = [w.decode() for w in new]
+            e = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
+            begins = np.cumsum([0, *(len(w) + 1 for w in texts)])
+            spans = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
+            n = np.diff(np.searchsorted(spans[:, 0], begins))
+            spans -= np.repeat(begins[:-1], n)[:, None]
             # Start and end in one integer; words are short.
-            packed = ((spans[:, 0] - np.repeat(begins[:-1], np.diff(cut))) << 16) | (spans[:, 1] - np.repeat(begins[:-1], np.diff(cut)))
-            for k, word in enumerate(new):
-                self._store(word, ids[cut[k] : cut[k + 1]], packed[cut[k] : cut[k + 1]])
-        for word, core, rest in parts:
-            if word in number:
-                continue
-            i = number[core]
-            a, b = self.first[i], self.first[i + 1]
-            ids, spans = self.ids[a:b], self.spans[a:b]
-            if rest:
-                i = number[rest]
-                c, d = self.first[i], self.first[i + 1]
-                shift = len(core) * 0x10001
-                ids, spans = np.concatenate((ids, self.ids[c:d])), np.concatenate((spans, self.spans[c:d] + shift))
-            self._store(word, ids, spans)
+            self._store(new, n, np.array(e.ids, dtype=np.int32), (spans[:, 0] << 16) | spans[:, 1])
+        keep = [k for k, w in enumerate(whole) if w not in self.number]
+        if keep:
+            parts = np.array([(self.number[cores[k]], self.number[rests[k]] if rests[k] else -1) for k in keep])
+            lo = np.where(parts < 0, 0, self.first[parts])
+            n = np.where(parts < 0, 0, self.first[parts + 1] - lo)
+            flat = n.ravel()
+            take = np.arange(flat.sum()) + np.repeat(lo.ravel() - np.concatenate(([0], np.cumsum(flat)[:-1])), flat)
+            shift = np.zeros_like(n)
+            shift[:, 1] = np.array([shifts[k] for k in keep]) * 0x10001
+            self._store([whole[k] for k in keep], n.sum(axis=1), self.ids[take], self.spans[take] + np.repeat(shift.ravel(), flat))
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The places of words in the memo, after learning those that are new."""
+        which = list(map(self.number.get, words))
+        if None in which:
+            missing = dict.fromkeys(w for w, k in zip(words, which, strict=True) if k is None)
+            if len(self.number) + 2 * len(missing) > MEMO_WORDS:
+                self._forget()
+                missing = dict.fromkeys(words)
+            self._learn(list(missing))
+            which = list(map(self.number.get, words))
+        return np.array(which)
+
+    def word_ids(self, text: str) -> np.ndarray:
+        """The ids alone, word by word; texts with very long words go through the tree."""
+        words = text.encode().split()
+        if not words:
+            return np.empty(0, dtype=np.int32)
+        if max(map(len, words)) > MEMO_CHARS:
+            return self.tokens(text).ids
+        which = self._numbers(words)
+        lo = self.first[which]
+        n = self.first[which + 1] - lo
+        return self.ids[np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)]
 
     def _direct(self, text: str, at: int) -> Tokens:
         e = self.tokenizer.encode(text, add_special_tokens=False)
@@ -148,15 +178,7 @@ class TreeEncoder:
             return Tokens([], [], [])
         if (change[1::2] - start).max() > MEMO_CHARS:
             return self._direct(text, at)
-        words = text.split() if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else [text[a:b] for a, b in zip(start.tolist(), change[1::2].tolist(), strict=True)]
-        number = self.number
-        missing = [w for w in dict.fromkeys(words) if w not in number]
-        if missing:
-            if len(number) + len(missing) > MEMO_WORDS:
-                self._forget()
-                number, missing = self.number, list(dict.fromkeys(words))
-            self._learn(missing)
-        which = np.array([number[w] for w in words])
+        which = self._numbers(text.encode().split())  # bytes.split() splits at ASCII white space
         lo = self.first[which]
         n = self.first[which + 1] - lo
         take = np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
