@@ -11,9 +11,13 @@ def join_totals(
 ) -> DataFrame:
     """Add up ``totals`` per ``key``, then inner-join the sums to ``parent``.
 
-    Gives the same sums as joining first. Adding up first means a task sends at
-    most one row per key into the shuffle, however many rows a hot key has, and
-    the join reuses the partitioning of the aggregation.
+    The result has the columns of ``parent``, then the totals. Gives the same sums as
+    joining first. Adding up first means a task sends at most one row per key into the
+    shuffle, however many rows a hot key has, and the join reuses the partitioning of the
+    aggregation.
     """
-    summed = facts.groupBy(key).agg(*[F.sum(c).alias(c) for c in totals])
-    return summed.join(parent, F.col(key) == F.col(parent_key))
+    if clashing := sorted(set(totals) & set(parent.columns)):
+        raise ValueError(f"columns of the parent with the name of a total: {', '.join(clashing)}")
+    own = "__key"
+    summed = facts.groupBy(F.col(key).alias(own)).agg(*[F.sum(c).alias(c) for c in totals])
+    return summed.join(parent, F.col(own) == F.col(parent_key)).select(*parent.columns, *totals)

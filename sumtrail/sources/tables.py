@@ -24,6 +24,15 @@ SCHEMAS = {
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Read ``<directory>/<name>.parquet``, either one file or a folder of part files.
 
-    The declared schema saves the job that would read it from a file footer.
+    Raises ValueError for a table that is not known here, and for files that lack one of
+    its columns or have it with another type. Other columns of the files are left out.
     """
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
+    if name not in SCHEMAS:
+        raise ValueError(f"no table {name!r}; known are {', '.join(sorted(SCHEMAS))}")
+    found = spark.read.parquet(f"{directory}/{name}.parquet")
+    types = dict(found.dtypes)
+    wanted = [c.split() for c in SCHEMAS[name].split(",")]
+    wrong = [f"{c}: {t} wanted, {types.get(c, 'no such column')} found" for c, t in wanted if types.get(c) != t]
+    if wrong:
+        raise ValueError(f"{directory}/{name}.parquet: {'; '.join(wrong)}")
+    return found.select(*[c for c, _ in wanted])

