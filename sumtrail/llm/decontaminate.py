@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sumtrail.llm.folders import small_batches
 from sumtrail.llm.text import U64, Words, chunks, mix, text_of
 
 WORDS = 5
@@ -90,51 +91,58 @@ class Benchmark:
                 self.shingles.append(words.windows(min(WORDS, n))[1])
                 sizes.append(n)
                 prints.append(simhash(self.shingles[-1]))
-        self.sizes = sorted(set(sizes))
         self.index = MultiIndex(prints)
         self.known = {}
-        for g in {min(WORDS, s) for s in self.sizes}:
-            own = np.unique(np.concatenate([h for h, s in zip(self.shingles, sizes, strict=True) if min(WORDS, s) == g]))
+        for g in {min(WORDS, s) for s in sizes}:
+            own = [i for i, s in enumerate(sizes) if min(WORDS, s) == g]
+            distinct = [np.unique(self.shingles[i]) for i in own]
+            shingle = np.concatenate(distinct)
+            item = np.repeat(own, [len(d) for d in distinct])
+            order = np.argsort(shingle, kind="stable")
+            shingle, item = shingle[order], item[order]
             low = np.zeros(1 << 20, dtype=bool)
-            low[(own & U64((1 << 20) - 1)).astype(np.int64)] = True
-            self.known[g] = own, low
-
-    def _member(self, g: int, found: np.ndarray) -> np.ndarray:
-        own, low = self.known[g]
-        hit = low[(found & U64((1 << 20) - 1)).astype(np.int64)]
-        at = np.flatnonzero(hit)
-        where = np.minimum(np.searchsorted(own, found[at]), len(own) - 1)
-        hit[at] = own[where] == found[at]
-        return hit
+            low[(shingle & U64((1 << 20) - 1)).astype(np.int64)] = True
+            self.known[g] = shingle, item, low
 
     def matches(self, texts: list[bytes]) -> list[list[dict]]:
         """For each text the best window for each item that it has."""
         words = Words(texts, lower=True)
         best: list[dict] = [{} for _ in texts]
-        for g in self.known:
+        for g, (shingle, item, low) in self.known.items():
             position, found = words.windows(g)
-            hit = self._member(g, found)
-            owner = text_of(position, words.first)
-            for d in np.unique(owner[hit]).tolist():
-                lo, hi = np.searchsorted(owner, [d, d + 1])
-                self._windows(g, found[lo:hi], hit[lo:hi], best[d])
-        return [[{"item_id": self.ids[i], **m} for i, m in sorted(b.items())] for b in best]
-
-    def _windows(self, g: int, found: np.ndarray, hit: np.ndarray, best: dict) -> None:
-        total = np.concatenate(([0], np.cumsum(hit)))
-        for size in self.sizes:
-            n = size - g + 1
-            if min(WORDS, size) != g or n > len(found):
+            at = np.flatnonzero(low[(found & U64((1 << 20) - 1)).astype(np.int64)])
+            lo, hi = np.searchsorted(shingle, found[at], side="left"), np.searchsorted(shingle, found[at], side="right")
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            if not len(at):
                 continue
-            # Of equally many shingles this share must be common for the similarity.
-            least = math.ceil(n * 2 * self.similarity / (1 + self.similarity) - 1e-9)
-            for start in np.flatnonzero(total[n:] - total[:-n] >= least).tolist():
-                window = found[start : start + n]
-                for i, distance in self.index.near(simhash(window)):
-                    s = weighted_similarity(window, self.shingles[i])
-                    if s >= self.similarity and s > best.get(i, {"similarity": 0})["similarity"]:
-                        best[i] = {"similarity": s, "distance": distance, "first_word": start, "n_words": size}
+            which = item[np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)]
+            at = np.repeat(at, n)
+            owner = text_of(position[at], words.first)
+            order = np.lexsort((at, which, owner))
+            at, which, owner = at[order], which[order], owner[order]
+            new = (which[1:] != which[:-1]) | (owner[1:] != owner[:-1])
+            cut = np.concatenate(([0], np.flatnonzero(new) + 1, [len(at)]))
+            bounds = np.searchsorted(position, words.first)
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                d = int(owner[a])
+                self._windows(found[bounds[d] : bounds[d + 1]], at[a:b] - bounds[d], int(which[a]), g, best[d])
+        return [[{"item_id": self.ids[i], **m} for i, m in sorted(b.items())] for b in best]
 
+    def _windows(self, found: np.ndarray, at: np.ndarray, item: int, g: int, best: dict) -> None:
+        """Look up the windows of an item's size that hold enough of its shingles, at ``at``."""
+        n = len(self.shingles[item])
+        # Of equally many shingles this share must be common for the similarity.
+        least = math.ceil(n * 2 * self.similarity / (1 + self.similarity) - 1e-9)
+        if len(at) < least or n > len(found):
+            return
+        first = np.arange(max(0, at[0] - n + 1), min(at[-1], len(found) - n) + 1)
+        held = np.searchsorted(at, first + n) - np.searchsorted(at, first)
+        for start in first[held >= least].tolist():
+            window = found[start : start + n]
+            for i, distance in self.index.near(simhash(window)):
+                s = weighted_similarity(window, self.shingles[i])
+                if s >= self.similarity and s > best.get(i, {"similarity": 0})["similarity"]:
+                    best[i] = {"similarity": s, "distance": distance, "first_word": start, "n_words": n + g - 1}
 
 def _found(text: Column, items: list[tuple[int, str | None]], similarity: float) -> Column:
     @F.pandas_udf(MATCH)
@@ -175,6 +183,7 @@ def benchmark_matches(
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items that they contain."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
@@ -182,5 +191,6 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item."""
+    small_batches(spark)
     found = benchmark_matches(docs.withColumn("__text", F.col("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="__text")
     return found.filter(F.size("matches") == 0).select(*docs.columns)
