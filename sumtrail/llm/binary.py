@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumtrail.llm.bpe import default_path, encoder
-from sumtrail.llm.folders import shared_folder
+from sumtrail.llm.folders import shared_folder, small_batches
 from sumtrail.llm.ordered import range_number
 from sumtrail.llm.text import U64
 
@@ -54,7 +54,12 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 
 def encode_ids(ids: np.ndarray) -> dict[str, bytes]:
     """Table, checkpoints, checksums and stream of the ids of a group."""
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    every = np.bincount(ids)
+    symbols = np.flatnonzero(every)
+    counts = every[symbols]
+    place = np.zeros(len(every), dtype=np.int64)
+    place[symbols] = np.arange(len(symbols))
+    index = place[ids]
     size = LANES * STEPS
     blocks = -(-len(ids) // size)
     freq = frequencies(counts) if len(ids) else counts
@@ -191,6 +196,7 @@ def read_token_files(spark, folder: str) -> DataFrame:
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read from the files."""
+    small_batches(spark)
     folder = shared_folder(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, default_path())
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

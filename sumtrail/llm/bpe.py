@@ -16,19 +16,23 @@ import hashlib
 import os
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sumtrail.llm.folders import small_batches
+
 LEAF_CHARS = 4096
 PART_CHARS = 1 << 16
 # First width of the window on either side of a join.
 WINDOW_CHARS = 32
-# Words whose tokens a task remembers at a time, and the longest of them.
-MEMO_WORDS = 700_000
+# Words whose tokens a task remembers at a time, those of them that it met first, which
+# stay when room is made, and the longest.
+MEMO_WORDS = 400_000
+MEMO_KEPT = 250_000
 MEMO_CHARS = 64
 
 # Punctuation that often follows a word.
@@ -77,6 +81,11 @@ class TreeEncoder:
         self.ids, self.spans = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.first, self.used = np.zeros(1 << 16, np.int64), 0
 
+    def _make_room(self, wanted: int) -> None:
+        keep = min(len(self.number), MEMO_KEPT, max(0, MEMO_WORDS - wanted))
+        self.number = dict(islice(self.number.items(), keep))
+        self.used = int(self.first[keep])
+
     def _store(self, words: list[bytes], n: np.ndarray, ids: np.ndarray, spans: np.ndarray) -> None:
         """Add words of ``n`` tokens each, whose ids and spans follow each other."""
         count, used = len(self.number), self.used + len(ids)
@@ -144,8 +153,8 @@ class TreeEncoder:
         if None in which:
             missing = dict.fromkeys(w for w, k in zip(words, which, strict=True) if k is None)
             if len(self.number) + 2 * len(missing) > MEMO_WORDS:
-                self._forget()
-                missing = dict.fromkeys(words)
+                self._make_room(2 * len(missing))
+                missing = dict.fromkeys(w for w in words if w not in self.number)
             self._learn(list(missing))
             which = list(map(self.number.get, words))
         return np.array(which)
@@ -356,10 +365,12 @@ def default_path() -> str:
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     """Digests of the encoded and the decoded text of every document."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return encode_texts(docs, default_path(), with_ids=False).drop("text")
 
 
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids."""
+    small_batches(spark)
     return encode_texts(docs, default_path())
