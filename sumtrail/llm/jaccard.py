@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumtrail.llm.components import connected_components
-from sumtrail.llm.folders import written
+from sumtrail.llm.folders import small_batches, written
 from sumtrail.llm.text import U64, Words, chunks, mix, text_of
 
 WORDS = 5
@@ -315,10 +315,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
+    small_batches(spark)
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each component, and rows without id."""
+    small_batches(spark)
     extra = jaccard_components(docs).filter("doc_id != component_id").select("doc_id")
     return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)

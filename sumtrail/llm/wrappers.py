@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sumtrail.llm.folders import small_batches, written
+
 # HTML element names by their role.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -302,8 +304,7 @@ def extract_text(pages: DataFrame, wrappers: DataFrame, html: str = "html", url:
 
 def op2_main_text(spark, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    from sumtrail.llm.folders import written
-
+    small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     hosts = pages.select(host_of("url").alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
     wrappers = infer_wrappers(pages).join(hosts.filter("pages > 1"), "host", "left_semi")
