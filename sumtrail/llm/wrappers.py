@@ -97,7 +97,8 @@ def fold(nodes: list) -> list:
         while i < len(nodes):
             group, n = nodes[i : i + size], 1
             keys = [_key(x) for x in group]
-            while len(group) == size and [_key(x) for x in nodes[i + n * size : i + (n + 1) * size]] == keys:
+            # A group begins with an opening tag or a text, as a list's item does.
+            while len(group) == size and group[0][0][:1] != "/" and [_key(x) for x in nodes[i + n * size : i + (n + 1) * size]] == keys:
                 n += 1
             if n > 1 and (size > 1 or group[0][0] not in ("", "+")):
                 out.append(["+", [x if x[0] else ["", None] for x in group]])
