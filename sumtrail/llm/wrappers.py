@@ -92,21 +92,24 @@ def tokens(html: str | None) -> list[tuple[str, str, bool]]:
 
 def fold(nodes: list) -> list:
     """Replace neighbours that repeat by one repeated group, short groups first."""
+    keys = [_key(x) for x in nodes]
     for size in range(1, LONGEST_GROUP + 1):
         out, i = [], 0
         while i < len(nodes):
-            group, n = nodes[i : i + size], 1
-            keys = [_key(x) for x in group]
+            n = 1
             # A group begins with an opening tag or a text, as a list's item does.
-            while len(group) == size and group[0][0][:1] != "/" and [_key(x) for x in nodes[i + n * size : i + (n + 1) * size]] == keys:
-                n += 1
-            if n > 1 and (size > 1 or group[0][0] not in ("", "+")):
-                out.append(["+", [x if x[0] else ["", None] for x in group]])
+            if i + size < len(nodes) and keys[i] == keys[i + size] and nodes[i][0][:1] != "/":
+                group = keys[i : i + size]
+                while keys[i + n * size : i + (n + 1) * size] == group:
+                    n += 1
+            if n > 1 and (size > 1 or nodes[i][0] not in ("", "+")):
+                out.append(["+", [x if x[0] else ["", None] for x in nodes[i : i + size]]])
                 i += n * size
             else:
                 out.append(nodes[i])
                 i += 1
-        nodes = out
+        if len(out) < len(nodes):
+            nodes, keys = out, [_key(x) for x in out]
     return nodes
 
 
