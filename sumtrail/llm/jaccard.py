@@ -30,6 +30,8 @@ PERCENT = 75
 BITMAP_LONGS = 8
 # Members of a list that all others are compared with first.
 PIVOTS = 6
+# Parts into which the rows of one key are dealt while their least id is found.
+SALTS = 32
 # Bytes of text that are packed together in the screen.
 PACK_BYTES = 16 << 20
 # Up to so many ids are broadcast; more are shuffled.
@@ -179,6 +181,20 @@ def _screen(docs: DataFrame, size: int) -> DataFrame:
     return stats.select("doc_id", "shared", "s.*").withColumn("alive", (F.col("n") > 0) & (F.col("m") - F.col("shared") <= spare))
 
 
+def _with_least(rows: DataFrame, key: list[str], least: str, count: str) -> DataFrame:
+    """Add the least ``doc_id`` and the number of the rows with the same ``key``.
+
+    The rows of a key are dealt into SALTS parts, each is reduced to one row, and what
+    is found for the key goes back to those parts, so a key with very many rows is in no
+    single task.
+    """
+    dealt = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc_id), {SALTS}) as int)"))
+    parts = dealt.groupBy(*key, "salt").agg(F.min("doc_id").alias(least), F.count("*").alias(count))
+    whole = parts.groupBy(*key).agg(F.min(least).alias(least), F.sum(count).alias(count), F.collect_list("salt").alias("salts"))
+    back = whole.select(*key, least, count, F.explode("salts").alias("salt"))
+    return dealt.join(back, [*key, "salt"]).drop("salt")
+
+
 def _member_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """Shingles and bitmap of the documents in ``ids``."""
     if ids.count() <= BROADCAST_IDS:
@@ -247,8 +263,8 @@ def _linked(sets: DataFrame) -> DataFrame:
     few comparisons each, and no link between different components is missed.
     """
     sets = written(sets, "sets")
-    groups = sets.groupBy("n", "prefix").agg(F.min("doc_id").alias("gid"), F.count("*").alias("members"))
-    member = written(sets.join(groups, ["n", "prefix"]).select("doc_id", "gid", "members", "n", "bitmap"), "members")
+    grouped = _with_least(sets.select("doc_id", "n", "prefix", "bitmap"), ["n", "prefix"], "gid", "members")
+    member = written(grouped.select("doc_id", "gid", "members", "n", "bitmap"), "members")
     heads = sets.drop("bitmap").join(member.filter("doc_id = gid").select("doc_id", "gid", "members", "bitmap"), "doc_id")
     index = written(heads.select("gid", "members", "n", "lone", "bitmap", F.posexplode("prefix").alias("at", "h")), "prefixes")
 
@@ -302,9 +318,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     stats = written(_screen(docs, size), "screen")
     alive = stats.filter("alive")
-    signature = ["n", "sig_a", "sig_b"]
-    classes = alive.groupBy(*signature).agg(F.min("doc_id").alias("first"))
-    first = written(alive.join(classes, signature).select("doc_id", "first"), "classes")
+    first = written(_with_least(alive, ["n", "sig_a", "sig_b"], "first", "copies").select("doc_id", "first"), "classes")
     chosen = first.filter("doc_id = first").select("doc_id")
     sets = written(_member_sets(docs, chosen, size).dropDuplicates(["doc_id"]), "shingles")
     parts = _linked(_prefixes(sets)).withColumnRenamed("id", "first")
