@@ -5,10 +5,11 @@ unions: tags, text slots, optional groups and repeated groups. It is inferred by
 pages one after another with what is known so far: repeated neighbours fold into one
 group, texts that differ make a slot, and what only one side has becomes optional.
 
-The wrapper tells what the template repeats and what a page fills in. A page's text is
-the filled-in part of its article: of text outside an article element, what the template
-has on every page is left out, and menus, headers, footers, sidebars, notices, adverts,
-forms and comments are left out everywhere.
+The wrapper tells what the template repeats and what a page fills in. Every page is
+aligned with the wrapper of its host, and blocks that consist of the template's texts are
+left out, inside article elements too. Names of elements and classes are hints beside it:
+menus, headers, footers, sidebars, notices, adverts, forms and comments are left out
+everywhere, and of a page with an article element only that is taken.
 """
 
 from __future__ import annotations
@@ -43,6 +44,11 @@ MARKS = frozenset(
 ARTICLE = frozenset(("article", "main"))
 # Longest block of tokens that is tried as the repeated group.
 LONGEST_GROUP = 12
+# So many different pages of a host must have a text before it counts as the template's:
+# inside an article more, as a few articles can agree in a sentence.
+LEAST_PAGES, LEAST_ARTICLES = 2, 10
+# Shapes of pages of a host that a task holds before it aligns them.
+SHAPES = 64
 # Wrappers are broadcast up to this many bytes in all, and joined by host beyond.
 BROADCAST_BYTES = 16 << 20
 
@@ -87,7 +93,20 @@ def tokens(html: str | None) -> list[tuple[str, str, bool]]:
 
 # A wrapper is a list of nodes: [label] for a tag, ["", text] for a text that is the same
 # everywhere (a slot has None instead), ["?", nodes] for an optional group and
-# ["+", nodes] for a repeated one.
+# ["+", nodes] for a repeated one. The text in a repeated group is the list of its texts.
+# A text that several pages have is followed by their number.
+
+
+def _repeated(group: list[list]) -> list:
+    """One of several equal nodes, with the texts of all."""
+    label = group[0][0]
+    if label == "+":
+        return [label, [_repeated(list(g)) for g in zip(*(x[1] for x in group), strict=True)]]
+    return ["", [t for x in group for t in _texts(x)]] if label == "" else group[0]
+
+
+def _texts(node: list) -> list[str]:
+    return node[1] if isinstance(node[1], list) else [node[1]]
 
 
 def fold(nodes: list) -> list:
@@ -103,7 +122,7 @@ def fold(nodes: list) -> list:
                 while keys[i + n * size : i + (n + 1) * size] == group:
                     n += 1
             if n > 1 and (size > 1 or nodes[i][0] not in ("", "+")):
-                out.append(["+", [x if x[0] else ["", None] for x in nodes[i : i + size]]])
+                out.append(["+", [_repeated(nodes[i + k : i + n * size : size]) for k in range(size)]])
                 i += n * size
             else:
                 out.append(nodes[i])
@@ -115,13 +134,7 @@ def fold(nodes: list) -> list:
 
 def _key(node: list) -> str:
     """What two nodes must have in common to be aligned."""
-    if node[0] == "+":
-        return "+(" + " ".join(_key(x) for x in node[1] if x[0] != "?") + ")"
-    return _key_of_optional(node) if node[0] == "?" else "<" + node[0] + ">"
-
-
-def _key_of_optional(node: list) -> str:
-    return "?(" + " ".join(_key(x) for x in node[1]) + ")"
+    return "+(" + " ".join(_key(x) for x in node[1] if x[0] != "?") + ")" if node[0] == "+" else "<" + node[0] + ">"
 
 
 def _matches(a: list, b: list) -> list[tuple[int, int]]:
@@ -134,16 +147,28 @@ def _matches(a: list, b: list) -> list[tuple[int, int]]:
     while j < min(len(x), len(y)) - i and x[-1 - j] == y[-1 - j]:
         j += 1
     p, q = x[i : len(x) - j], y[i : len(y) - j]
-    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-    for r in range(len(p) - 1, -1, -1):
-        for s in range(len(q) - 1, -1, -1):
-            best[r][s] = best[r + 1][s + 1] + 1 if p[r] == q[s] else max(best[r + 1][s], best[r][s + 1])
+    # Bit vectors of the suffixes' longest common subsequences: zeros count what is common.
+    at: dict[str, int] = {}
+    for r, key in enumerate(reversed(p)):
+        at[key] = at.get(key, 0) | 1 << r
+    full = (1 << len(p)) - 1
+    row = full
+    rows = [row]
+    for key in reversed(q):
+        m = at.get(key, 0)
+        row = ((row + (row & m)) | (row & ~m)) & full
+        rows.append(row)
+
+    def best(r: int, s: int) -> int:
+        n = len(p) - r
+        return n - (rows[len(q) - s] & ((1 << n) - 1)).bit_count()
+
     out, r, s = [(k, k) for k in range(i)], 0, 0
     while r < len(p) and s < len(q):
         if p[r] == q[s]:
             out.append((i + r, i + s))
             r, s = r + 1, s + 1
-        elif best[r + 1][s] >= best[r][s + 1]:
+        elif best(r + 1, s) >= best(r, s + 1):
             r += 1
         else:
             s += 1
@@ -152,61 +177,158 @@ def _matches(a: list, b: list) -> list[tuple[int, int]]:
 
 def align(wrapper: list, other: list) -> list:
     """The wrapper of everything that either of two wrappers stands for."""
-    out, i, j = [], 0, 0
-    for r, s in [*_matches(wrapper, other), (len(wrapper), len(other))]:
-        for rest in (wrapper[i:r], other[j:s]):
-            plain = [n for x in rest for n in (x[1] if x[0] == "?" else [x])]
-            if plain and (not out or out[-1] != ["?", plain]):
-                out.append(["?", plain])
-        if r < len(wrapper):
-            a, b = wrapper[r], other[s]
-            if a[0] in ("+", "?"):
-                out.append([a[0], align(a[1], b[1])])
+    one, two = _flat(wrapper), _flat(other)
+    a_optional, b_optional = _optional(wrapper), _optional(other)
+    out: list = []
+    i, j = 0, 0
+
+    def add(node: list, optional: bool) -> None:
+        if not optional:
+            out.append(node)
+        elif out and out[-1][0] == "?":
+            out[-1][1].append(node)
+        else:
+            out.append(["?", [node]])
+
+    for r, s in [*_matches(one, two), (len(one), len(two))]:
+        for x in (*one[i:r], *two[j:s]):
+            add(x, True)
+        if r < len(one):
+            a, b = one[r], two[s]
+            if a[0] == "+":
+                a = ["+", align(a[1], b[1])]
             elif a[0] == "":
-                out.append(a if a == b else ["", None])
-            else:
-                out.append(a)
+                a = ["", a[1], _pages(a) + _pages(b)] if a[1] == b[1] and a[1] is not None else ["", None]
+            add(a, a_optional[r] or b_optional[s])
         i, j = r + 1, s + 1
     return out
 
 
+def _flat(nodes: list) -> list:
+    """Nodes with optional parts as if they were not optional."""
+    return [y for x in nodes for y in (x[1] if x[0] == "?" else [x])]
+
+
+def _optional(nodes: list) -> list[bool]:
+    return [x[0] == "?" for x in nodes for _ in (x[1] if x[0] == "?" else [x])]
+
+
 def page_nodes(page: list[tuple[str, str, bool]]) -> list:
     return fold([["", _clean(text)] if not label else [label] for label, text, _ in page if label != " "])
 
 
-def infer(pages: list[list]) -> list | None:
+def _pages(text: list) -> int:
+    return text[2] if len(text) > 2 else 1
+
+
+def _shape(nodes: list) -> str:
+    return " ".join(map(_key, nodes))
+
+
+def _groups(nodes: list) -> Iterator[tuple[str, list]]:
+    """Key and nodes of the repeated groups, also of those in others and in optional parts."""
+    for x in nodes:
+        if x[0] in ("+", "?"):
+            if x[0] == "+":
+                yield _key(x), x[1]
+            yield from _groups(x[1])
+
+
+def describe(nodes: list) -> dict:
+    """The wrapper of one page.
+
+    ``common`` has, for each kind of repeated group, how many pages have it and the texts
+    that it has on all of them: a line that ends every article stands in the group of its
+    paragraphs, of which each page has another number.
+    """
+    common: dict[str, list] = {}
+    for key, group in _groups(nodes):
+        own = common.setdefault(key, [1, []])
+        own[1] = sorted({*own[1], *(t for x in group if x[0] == "" for t in _texts(x))})
+    return {"nodes": nodes, "pages": 1, "common": common}
+
+
+def merge_wrappers(one: dict, two: dict) -> dict:
+    common = dict(one["common"])
+    for key, (n, texts) in two["common"].items():
+        m, known = common.get(key, (0, texts))
+        common[key] = [m + n, sorted(set(known).intersection(texts))]
+    return {"nodes": align(one["nodes"], two["nodes"]), "pages": one["pages"] + two["pages"], "common": common}
+
+
+def infer(pages: list[dict]) -> dict | None:
     wrapper = None
     for page in pages:
-        wrapper = page if wrapper is None else wrapper if wrapper == page else align(wrapper, page)
+        wrapper = page if wrapper is None else merge_wrappers(wrapper, page)
     return wrapper
 
 
-def constants(wrapper: list) -> set[str]:
-    """Texts that the template has on all pages of the host."""
-    return {n[1] for n in wrapper if n[0] == "" and n[1] is not None}
+class Wrapper:
+    """Tells which texts of a page are the template's."""
+
+    def __init__(self, wrapper: dict | None) -> None:
+        self.nodes = _flat(wrapper["nodes"]) if wrapper else []
+        self.pages = wrapper["pages"] if wrapper else 0
+        self.common = {k: (n, frozenset(texts)) for k, (n, texts) in wrapper["common"].items()} if wrapper else {}
+        self.pairs: dict[str, list[tuple[int, int]]] = {}
+
+    def template(self, page: list[tuple[str, str, bool]]) -> dict[int, int]:
+        """Number of each token that is a text of the template, and how many pages have it."""
+        found: dict[int, int] = {}
+        if self.pages < 2:
+            return found
+        # Folding doesn't look at texts, so their numbers can stand for them.
+        nodes = fold([["", k] if not label else [label] for k, (label, _, _) in enumerate(page) if label != " "])
+        shape = _shape(nodes)
+        if shape not in self.pairs:
+            if len(self.pairs) > 1000:
+                self.pairs.clear()
+            # Pages of one shape are aligned alike.
+            self.pairs[shape] = _matches(nodes, self.nodes)
+        for r, s in self.pairs[shape]:
+            self._compare(page, nodes[r], self.nodes[s], found)
+        return found
+
+    def _compare(self, page: list[tuple[str, str, bool]], own: list, known: list, found: dict[int, int]) -> None:
+        if own[0] == "":
+            # A text of only some pages is the template's if most pages have it.
+            if known[1] is not None and 2 * _pages(known) > self.pages and [_clean(page[k][1]) for k in _texts(own)] == _texts(known):
+                found.update((k, _pages(known)) for k in _texts(own))
+        elif own[0] == "+":
+            n, common = self.common.get(_key(own), (0, frozenset()))
+            if common and 2 * n > self.pages:
+                found.update((k, n) for x in own[1] if x[0] == "" for k in _texts(x) if _clean(page[k][1]) in common)
+            plain = _flat(known[1])
+            for r, s in _matches(own[1], plain):
+                self._compare(page, own[1][r], plain[s], found)
 
 
 def _clean(text: str) -> str:
     return _SPACES.sub(" ", entities.unescape(text)).strip()
 
 
-def main_text(page: list[tuple[str, str, bool]], constant: set[str]) -> str:
+def main_text(page: list[tuple[str, str, bool]], wrapper: Wrapper) -> str:
     """The blocks of the article, one a line."""
     inside = _article(page)
+    template = wrapper.template(page)
+    least = LEAST_PAGES if inside is None else LEAST_ARTICLES
     blocks: list[str] = []
     part: list[str] = []
+    own: list[bool] = []
     gone: list[str] = []
 
     def end() -> None:
         block = _SPACES.sub(" ", "".join(part)).strip()
-        if block and not (inside is None and block in constant):
+        if block and any(own):
             blocks.append(block)
         part.clear()
+        own.clear()
 
     for k, (label, text, out) in enumerate(page):
         if label in ("", " "):
             if not gone and (inside is None or k in inside):
                 part.append(entities.unescape(text) if label == "" else text)
+                own.append(label == "" and template.get(k, 0) < least)
             continue
         if text in BLOCKS:
             end()
@@ -253,20 +375,23 @@ def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> Da
     """
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list] = {}
-        seen: dict[str, set[str]] = {}
+        known: dict[str, dict] = {}
+        shapes: dict[str, dict[str, dict]] = {}
+
+        def add(host: str) -> None:
+            parts = shapes.pop(host).values()
+            known[host] = infer([known[host], *parts] if host in known else [*parts])
+
         for batch in batches:
             for host, page in zip(batch["host"], batch["html"], strict=True):
-                nodes = page_nodes(tokens(page))
-                if host in known:
-                    # The same shape can add nothing but slots.
-                    shape = " ".join(map(_key, nodes))
-                    if shape in seen[host] and not constants(known[host]) - constants(nodes):
-                        continue
-                    seen[host].add(shape)
-                    known[host] = align(known[host], nodes)
-                else:
-                    known[host], seen[host] = nodes, set()
+                found = describe(page_nodes(tokens(page)))
+                shape = _shape(found["nodes"])
+                own = shapes.setdefault(host, {})
+                own[shape] = merge_wrappers(own[shape], found) if shape in own else found
+                if len(own) == SHAPES:
+                    add(host)
+        for host in [*shapes]:
+            add(host)
         yield pd.DataFrame({"host": list(known), "wrapper": [json.dumps(w) for w in known.values()]}, columns=["host", "wrapper"], dtype=object)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -274,6 +399,8 @@ def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> Da
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(infer(parts))]}, dtype=object)
 
     rows = pages.select(host_of(url).alias("host"), F.col(html).alias("html"))
+    # A page that occurs again says nothing about the template.
+    rows = rows.withColumn("hash", F.md5("html")).dropDuplicates(["host", "hash"]).select("host", "html")
     partial = rows.mapInPandas(some, "host string, wrapper string")
     return partial.groupBy("host").applyInPandas(merge, "host string, wrapper string")
 
@@ -282,7 +409,8 @@ def extract_text(pages: DataFrame, wrappers: DataFrame, html: str = "html", url:
     """Add ``text``, the main text, to ``pages``; a column of that name is replaced.
 
     Null or empty pages, and pages without an article, have an empty text. On a host with
-    one page nothing is known to be constant. Repeated pages have the same text.
+    one page, or only copies of one, nothing is known to be constant. Repeated pages have
+    the same text.
     """
     constant = wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
     if (constant.agg(F.sum(F.length("__wrapper"))).first()[0] or 0) <= BROADCAST_BYTES:
@@ -290,14 +418,14 @@ def extract_text(pages: DataFrame, wrappers: DataFrame, html: str = "html", url:
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, set[str]] = {}
+        known: dict[str, Wrapper] = {}
         for page, wrapper in batches:
             out = []
             for p, w in zip(page, wrapper, strict=True):
                 if w not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[w] = constants(json.loads(w)) if w else set()
+                    known[w] = Wrapper(json.loads(w) if w else None)
                 out.append(main_text(tokens(p), known[w]))
             yield pd.Series(out, dtype=object)
 

@@ -318,6 +318,20 @@ def test_main_text(spark):
     assert wrappers.infer_wrappers(pages.filter("false")).count() == 0
 
 
+def test_wrapper_decides_inside_articles(spark):
+    body = "<article><h1>Title {k}</h1>{more}<p>Own {k}</p>{share}<div><p>Licence</p></div></article>"
+    # Another number of paragraphs and one optional line; two hosts, one with copies of one page only.
+    pages = [(k, "http://a.example", body.format(k=k, more="<p>More</p>" * (k % 3 == 0), share="<b><i>Share</i></b>" * (k % 4 > 0))) for k in range(24)]
+    pages += [(100 + k, "http://b.example", body.format(k=0, more="", share="")) for k in range(24)]
+    pages += [(200 + k, "http://c.example", "<article>" + "".join(f"<p>{k} {i}</p>" for i in range(2 + k % 3)) + "<p>Subscribe now</p></article>") for k in range(24)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_text(df, wrappers.infer_wrappers(df)).collect()}
+    for k in range(24):
+        assert got[k].split("\n") == [f"Title {k}", *["More"] * (k % 3 == 0), f"Own {k}"]
+        assert got[100 + k] == "Title 0\nOwn 0\nLicence"
+        assert got[200 + k].split("\n") == [f"{k} {i}" for i in range(2 + k % 3)]
+
+
 def test_wrapper_has_slots_repeats_and_options():
     one = wrappers.page_nodes(wrappers.tokens("<ul><li>a<li>b</ul><p>x</p>"))
     two = wrappers.page_nodes(wrappers.tokens("<ul><li>a<li>b<li>c</ul><hr><p>y</p>"))
