@@ -32,8 +32,19 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|select|button"
-LEFT_OUT = frozenset("head nav footer aside form header menu dialog fieldset label".split())
+RAW = "script|style|noscript|textarea|title|iframe"
+LEFT_OUT = frozenset("head nav footer aside form header menu dialog fieldset label template svg object canvas select button annotation annotation-xml".split())
+# Elements that a start tag ends if they are open, and those that they are not looked for beyond.
+CLOSES_P = BLOCKS - frozenset("body caption html option tbody td tfoot th thead tr".split())
+ITEM_SCOPE = BLOCKS - frozenset("address div p li dd dt".split())
+TABLE, NONE = frozenset(("table",)), frozenset()
+ENDS = (
+    {"li": (frozenset(("li",)), ITEM_SCOPE), "tr": (frozenset(("tr",)), TABLE)}
+    | dict.fromkeys(("dd", "dt"), (frozenset(("dd", "dt")), ITEM_SCOPE))
+    | dict.fromkeys(("td", "th"), (frozenset(("td", "th")), TABLE))
+    | dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(("tbody", "thead", "tfoot")), TABLE))
+)
+P_SCOPE = frozenset("button caption object table td template th html".split())
 # Words in class, id and role that mark what is not the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments cookie cookies consent disclaimer "
@@ -53,12 +64,12 @@ SHAPES = 64
 BROADCAST_BYTES = 16 << 20
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?:{RAW})(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:[\s\"']|\s[a-z-]+))?/>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
 
 
@@ -67,8 +78,12 @@ def _tag(closing: str, name: str, rest: str) -> tuple[str, bool]:
     """Label of a tag, and whether it opens something that is left out."""
     if closing:
         return "/" + name, False
-    words = [w for m in _MARK.finditer(rest) for w in re.split(r"[\s_-]+", next(filter(None, m.groups()), "").lower()) if w]
-    gone = name in LEFT_OUT or bool(MARKS.intersection(words)) or bool(_HIDDEN.search(rest))
+    attributes = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)]
+    words = [w for a, value in attributes if a in ("class", "id", "role") for w in re.split(r"[\s_-]+", value.lower()) if w]
+    hidden = any(
+        a == "hidden" or (a == "aria-hidden" and value.strip().lower() == "true") or (a == "style" and _HIDDEN_STYLE.search(value)) for a, value in attributes
+    )
+    gone = name in LEFT_OUT or bool(MARKS.intersection(words)) or hidden
     return name + "".join("." + w for w in sorted(set(words)) if not any(c.isdigit() for c in w)), gone
 
 
@@ -86,6 +101,8 @@ def tokens(html: str | None) -> list[tuple[str, str, bool]]:
             name = m[3].lower()
             label, gone = _tag(m[2], name, m[4])
             out.append((label, name, gone))
+            if name in ("svg", "math") and not m[2] and m[4].endswith("/"):
+                out.append(("/" + name, name, False))
     if at < len(html) and html[at:].strip():
         out.append(("", html[at:], False))
     return out
@@ -315,7 +332,16 @@ def main_text(page: list[tuple[str, str, bool]], wrapper: Wrapper) -> str:
     blocks: list[str] = []
     part: list[str] = []
     own: list[bool] = []
-    gone: list[str] = []
+    # Open elements, and whether they or one around them is left out.
+    stack: list[tuple[str, bool]] = []
+
+    def close(names: frozenset[str], scope: frozenset[str]) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                del stack[i:]
+                return
+            if stack[i][0] in scope:
+                return
 
     def end() -> None:
         block = _SPACES.sub(" ", "".join(part)).strip()
@@ -326,7 +352,7 @@ def main_text(page: list[tuple[str, str, bool]], wrapper: Wrapper) -> str:
 
     for k, (label, text, out) in enumerate(page):
         if label in ("", " "):
-            if not gone and (inside is None or k in inside):
+            if not (stack and stack[-1][1]) and (inside is None or k in inside):
                 part.append(entities.unescape(text) if label == "" else text)
                 own.append(label == "" and template.get(k, 0) < least)
             continue
@@ -335,13 +361,16 @@ def main_text(page: list[tuple[str, str, bool]], wrapper: Wrapper) -> str:
         elif text == "br":
             part.append(" ")
         if label[0] == "/":
-            if text in gone:
-                while gone.pop() != text:
-                    pass
-        elif gone and text not in VOID and (text == gone[-1] or text in LEFT_OUT or out):
-            gone.append(text)
-        elif out and text not in VOID and not (text in ("body", "html", "article", "main")):
-            gone.append(text)
+            # The end of an inline element doesn't end blocks in it.
+            close(frozenset((text,)), NONE if text in BLOCKS or text in LEFT_OUT else BLOCKS)
+            continue
+        if text in CLOSES_P:
+            close(frozenset(("p",)), P_SCOPE)
+        if text in ENDS:
+            close(*ENDS[text])
+        if text not in VOID:
+            kept = text in ("body", "html", "article", "main")
+            stack.append((text, bool(stack and stack[-1][1]) or (out and not kept)))
     end()
     return "\n".join(blocks)
 

@@ -332,6 +332,24 @@ def test_wrapper_decides_inside_articles(spark):
         assert got[200 + k].split("\n") == [f"{k} {i}" for i in range(2 + k % 3)]
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p class=ad>Buy<p>Real one</p><p>Real two</p>", "Real one\nReal two"),
+        ("<ul><li class=ad>Buy<ul><li>more</ul><li>Real</ul><p>End", "Real\nEnd"),
+        ("<dl><dt class=ad>Buy<dd>Real</dl><table><tr class=ad><td>Buy<tr><td class=ad>Buy<td>Cell</table>", "Real\nCell"),
+        ("<p class=ad>Buy<div>Real</div>", "Real"),
+        ("<article><div style='overflow:hidden'>Real <a href='/hidden-gems'>link</a></div></article>", "Real link"),
+        ("<p hidden>No</p><p style='color:red; visibility: hidden'>No</p><p aria-hidden=true>No</p><p>Real", "Real"),
+        ("<p>Real <math><mi>x</mi></math> one <svg/> two <iframe src='a' allowfullscreen/> three <svg><text>no</text></svg>", "Real x one two three"),
+        ("<p>A <script src=http://x/>no</script><i>b</i>", "A b"),
+        ("<div class=ad>Buy <b>x<p>no</b> no</div><p>Real", "Real"),
+    ],
+)
+def test_main_text_of_ordinary_markup(html, text):
+    assert wrappers.main_text(wrappers.tokens(html), wrappers.Wrapper(None)) == text
+
+
 def test_wrapper_has_slots_repeats_and_options():
     one = wrappers.page_nodes(wrappers.tokens("<ul><li>a<li>b</ul><p>x</p>"))
     two = wrappers.page_nodes(wrappers.tokens("<ul><li>a<li>b<li>c</ul><hr><p>y</p>"))
