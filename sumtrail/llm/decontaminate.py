@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Every window of a text that is as long as some benchmark item, and has enough of the
-items' shingles that it could be similar to one at all, gets a SimHash fingerprint. A
+items' shingles that it could be similar to one at all, gets a SimHash fingerprint; a text
+shorter than the item is one window. A
 multi-index over blocks of the fingerprints' bits finds every item within the radius:
 of two fingerprints that differ in at most RADIUS of 64 bits, one of the BLOCKS blocks
 differs in at most RADIUS // BLOCKS bits. What is found is compared exactly, by the
@@ -129,11 +130,15 @@ class Benchmark:
         return [[{"item_id": self.ids[i], **m} for i, m in sorted(b.items())] for b in best]
 
     def _windows(self, found: np.ndarray, at: np.ndarray, item: int, g: int, best: dict) -> None:
-        """Look up the windows of an item's size that hold enough of its shingles, at ``at``."""
-        n = len(self.shingles[item])
-        # Of equally many shingles this share must be common for the similarity.
-        least = math.ceil(n * 2 * self.similarity / (1 + self.similarity) - 1e-9)
-        if len(at) < least or n > len(found):
+        """Look up the windows of an item's size that hold enough of its shingles, at ``at``.
+
+        A text that has fewer shingles than the item is one window.
+        """
+        size = len(self.shingles[item])
+        n = min(size, len(found))
+        # So many shingles must be common for the similarity.
+        least = math.ceil((n + size) * self.similarity / (1 + self.similarity) - 1e-9)
+        if len(at) < least:
             return
         first = np.arange(max(0, at[0] - n + 1), min(at[-1], len(found) - n) + 1)
         held = np.searchsorted(at, first + n) - np.searchsorted(at, first)
@@ -144,6 +149,7 @@ class Benchmark:
                 if s >= self.similarity and s > best.get(i, {"similarity": 0})["similarity"]:
                     best[i] = {"similarity": s, "distance": distance, "first_word": start, "n_words": n + g - 1}
 
+
 def _found(text: Column, items: list[tuple[int, str | None]], similarity: float) -> Column:
     @F.pandas_udf(MATCH)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -162,8 +168,8 @@ def benchmark_matches(
 ) -> DataFrame:
     """Add ``matches``, one entry for each item that a window of the text is similar to.
 
-    A column of that name is replaced. Null and empty texts and texts without a window of
-    an item's size have none; items that are null, empty or without words match nothing,
+    A column of that name is replaced. A text shorter than an item is compared as a
+    whole. Null and empty texts have none; items that are null, empty or without words match nothing,
     and repeated items match each for itself. Words are compared with A-Z in lower case;
     an item of fewer than five words is one shingle.
 

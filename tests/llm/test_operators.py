@@ -155,6 +155,20 @@ def test_decontamination(spark, docs):
     assert decontaminate.benchmark_matches(table.filter("false"), items).count() == 0
 
 
+@pytest.mark.parametrize("around", ["", " ".join(words(9, 79))])
+def test_decontamination_of_cut_items(around):
+    whole = words(38, 80)
+    benchmark = decontaminate.Benchmark([(1, " ".join(whole))])
+    cuts = [whole[1:], whole[:-1], whole[2:], whole[:-2], whole[1:-1]]
+    for own in cuts:
+        (found,) = benchmark.matches([" ".join([around, *own]).encode()])
+        shared = len(own) - 4
+        # In a longer text the window has the item's 34 shingles.
+        assert [(m["item_id"], m["similarity"]) for m in found] == [(1, shared / (34 if not around else 68 - shared))]
+    # 29 common shingles of 34 are similar enough as a whole text, 25 are not.
+    assert benchmark.matches([" ".join(whole[:33]).encode()])[0] and not benchmark.matches([" ".join(whole[:29]).encode()])[0]
+
+
 def test_multi_index_finds_all_within_radius():
     r = random.Random(3)
     prints = [r.getrandbits(64) for _ in range(300)]
