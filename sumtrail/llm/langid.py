@@ -236,15 +236,46 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-# A text whose n-grams are this far from every profile is in none of the languages.
+# A text is in none of the languages if its score is below the lower quartile of its
+# language's documents by more than so many times the distance from there to their median.
+MARGIN = 5
+# A language with fewer documents shares the scores of all; with fewer in all, LEAST_SCORE holds.
+LEAST_ROWS = 100
 LEAST_SCORE = 0.05
+# Scores are counted in steps of one over this.
+STEPS = 1000
+
+
+def least_scores(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """For each language the least score that its texts can have, from all labelled rows.
+
+    A row counts if it is found to be in the language that it is labelled with. Quartiles
+    stay where they are while less than a quarter of a language's rows are something else.
+    """
+    found = identify_languages(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna(), profiles)
+    step = F.floor(F.col("lang_score") * STEPS).cast("int").alias("step")
+    rows = found.filter(F.col("lang") == F.col("lang_pred")).groupBy("lang", step).count().collect()
+    counts = {name: np.zeros(STEPS + 1, dtype=np.int64) for name in profiles}
+    for r in rows:
+        counts[r["lang"]][r["step"]] += r["count"]
+
+    def least(n: np.ndarray) -> float:
+        if n.sum() < LEAST_ROWS:
+            return LEAST_SCORE
+        low, middle = np.searchsorted(np.cumsum(n), [n.sum() / 4, n.sum() / 2]) / STEPS
+        return max(LEAST_SCORE, float(low - MARGIN * (middle - low)))
+
+    everything = sum(counts.values(), np.zeros(STEPS + 1, dtype=np.int64))
+    return {name: least(n if n.sum() >= LEAST_ROWS else everything) for name, n in counts.items()}
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language: without letters, or far from every profile."""
     small_batches(spark)
     profiles = language_profiles(docs)
+    if not profiles:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    least = F.create_map(*[F.lit(x) for pair in least_scores(docs, profiles).items() for x in pair])
     found = identify_languages(docs, profiles)
-    known = (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE)
-    kept = found.filter(known) if profiles else docs.filter(F.col("text").rlike(r"\p{L}"))
-    return kept.select(*docs.columns)
+    known = (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least[F.col("lang_pred")])
+    return found.filter(known).select(*docs.columns)

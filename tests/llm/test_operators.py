@@ -125,6 +125,22 @@ def test_language(spark, docs, empty):
     assert langid.identify_languages(clash, {}).filter("lang_pred = 'und'").count() == docs.count()
 
 
+def test_language_stage_drops_junk_and_other_languages(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(5)
+    junk = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (50, 500)]
+    junk.append("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.")
+    junk.append("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.")
+    short = ["the cat and the other thing in the house", "der Mann und die Frau in der Stadt", "los hijos de la casa en que estaba", "les enfants de la maison dans les rues"]
+    rows = [(-1 - k, text, None) for k, text in enumerate(junk)] + [(-100 - k, text, None) for k, text in enumerate(short)]
+    # One junk document in fifty has a label.
+    rows += [(-1000 - k, junk[0], "en") for k in range(12)]
+    planted = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in langid.language_stage(spark, given.unionByName(planted), "").select("doc_id").collect()}
+    assert {k for k in kept if k < 0} == {-100 - k for k in range(len(short))}
+    assert len(kept) - len(short) == given.filter(r"text rlike '\\p{L}'").count()
+
+
 def test_language_profile_counts(spark):
     text = "Ab abc, b"
     grams = {}
