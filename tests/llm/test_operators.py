@@ -334,6 +334,11 @@ PAGE = (
 PLAIN = "<body><div id=sidebar>Side</div><div><p>On every page</p></div><div><p>Own {k}</p><ul><li>one {k}<li>two {k}</ul></div><form>Name</form></body>"
 
 
+def test_toxicity_sample_and_epochs():
+    # The values that the held-out figures in the README belong to.
+    assert (toxicity.SAMPLE, toxicity.EPOCHS) == (12_000, 8)
+
+
 def test_main_text(spark):
     rows = [(k, "https://a.example/x", PAGE.format(k=k)) for k in range(5)] + [(10 + k, "http://b.example", PLAIN.format(k=k)) for k in range(4)]
     rows += [(20, "http://c.example", None), (21, None, ""), (22, "http://d.example", "just <i>text")]
