@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sumtrail.llm.binary import op8_token_files
+from sumtrail.llm.bottomk import op11_bottom_k
 from sumtrail.llm.bpe import op4_bpe
 from sumtrail.llm.decontaminate import op5_decontaminate
 from sumtrail.llm.fingerprints import op9_fingerprints
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_fingerprints": op9_fingerprints,
     "op10_secrets": op10_secrets,
+    "op11_bottom_k": op11_bottom_k,
 }
 
 ORACLE_SQL: dict[str, str] = {}
