@@ -74,9 +74,9 @@ def sketches(docs: DataFrame, size: int = WORDS, keep: int = KEEP) -> DataFrame:
                 # One bit less, so that the order is the same with and without a sign.
                 values = (found >> U64(1)).view(np.int64)
                 least = [values[a : a + min(n, keep)] for a, n in zip(begin.tolist(), own["n"].tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": ids[first : first + len(texts)], **own, "sketch": least})
+                yield pd.DataFrame({"doc_id": ids[first : first + len(texts)], **own, "sketch": least, **_bits(least)})
 
-    return docs.mapInPandas(sketch, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, sketch array<bigint>")
+    return docs.mapInPandas(sketch, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, sketch array<bigint>, " + ", ".join(f"{b} bigint" for b in _BITS))
 
 
 def _classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +86,7 @@ def _classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts of them are looked up side by side in the end.
     """
     rows = sketched.filter("n > 0")
-    sets = rows.groupBy(*_SIGNATURE).agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
+    sets = rows.groupBy(*_SIGNATURE).agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("sketch", *_BITS)])
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     parts = rows.select(*_SIGNATURE, _salt()).distinct()
     return sets, parts
@@ -96,13 +96,13 @@ def _salt() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
 
 
-def _bits() -> list[Column]:
-    """LONGS columns in which each value of the sketch sets one bit."""
-    out = []
-    for k, name in enumerate(_BITS):
-        own = f"aggregate(sketch, 0L, (s, h) -> if((h >> 6) % {LONGS} = {k}, s | shiftleft(1L, cast(h & 63 as int)), s))"
-        out.append(F.expr(own).alias(name))
-    return out
+def _bits(least: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """LONGS columns in which each value of a sketch sets one bit."""
+    bits = np.zeros((len(least), LONGS), dtype=U64)
+    values = np.concatenate([*least, np.empty(0, np.int64)])
+    owner = np.repeat(np.arange(len(least)), [len(x) for x in least])
+    np.bitwise_or.at(bits, (owner, (values >> 6) % LONGS), U64(1) << (values & 63).astype(U64))
+    return dict(zip(_BITS, bits.view(np.int64).T, strict=True))
 
 
 def _listed(sets: DataFrame, percent: int, keep: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _listed(sets: DataFrame, percent: int, keep: int) -> DataFrame:
         .withColumn("need", F.expr(need))
         .filter("size(known) >= need")
         .withColumn("prefix", F.expr("transform(slice(known, 1, size(known) - need + 1), x -> x.h)"))
-        .select("node", "first", *_SIGNATURE, "sketch", "need", "prefix", *_bits())
+        .select("node", "first", *_SIGNATURE, "sketch", "need", "prefix", *_BITS)
     )
 
 
@@ -131,16 +131,42 @@ def _may_link(x: str, y: str, percent: int) -> str:
     return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {held} - ({apart}) >= 2 * greatest({x}.need, {y}.need)"
 
 
+def union_matches(one: list[np.ndarray], two: list[np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of sketches the size of their union's sketch, and how much of it both hold.
+
+    The union of two whole sets, of fewer than ``keep`` values each, counts as a whole.
+    """
+    sizes = np.array([[len(x), len(y)] for x, y in zip(one, two, strict=True)]).reshape(-1, 2)
+    rows = np.full((len(sizes), 2 * keep + 1), np.iinfo(np.int64).max)
+    column = np.arange(2 * keep + 1)
+    rows[column < sizes[:, :1]] = np.concatenate([*one, np.empty(0, np.int64)])
+    rows[(column >= sizes[:, :1]) & (column < sizes.sum(axis=1)[:, None])] = np.concatenate([*two, np.empty(0, np.int64)])
+    rows.sort(axis=1)
+    again = rows[:, 1:] == rows[:, :-1]
+    again &= column[1:] < sizes.sum(axis=1)[:, None]
+    size = sizes.sum(axis=1) - again.sum(axis=1)
+    size = np.where((sizes < keep).all(axis=1), size, np.minimum(size, keep))
+    # The number of distinct values up to each place.
+    rank = column[1:] + 1 - np.cumsum(again, axis=1)
+    return size, (again & (rank <= size[:, None])).sum(axis=1)
+
+
 def _estimated(pairs: DataFrame, sets: DataFrame, percent: int, keep: int) -> DataFrame:
     """The pairs (a, b) whose union's sketch doesn't rule a link out, and its estimate."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.withColumn("u", F.expr(f"slice(array_sort(array_union(sa, sb)), 1, if(na <= {keep} and nb <= {keep}, 2 * {keep}, {keep}))"))
-    both = both.withColumn("m", F.expr("size(filter(array_intersect(sa, sb), x -> x <= element_at(u, -1)))"))
-    # Sketches that hold both sets give their similarity itself.
-    enough = f"if(na <= {keep} and nb <= {keep}, 100 * m >= {percent} * size(u), m >= {least_matches(keep, percent)})"
-    return both.filter(enough).select("a", "b", (F.col("m") / F.size("u")).alias("estimate"))
+
+    @F.pandas_udf("double")
+    def estimate(one: pd.Series, two: pd.Series) -> pd.Series:
+        size, matches = union_matches(one.tolist(), two.tolist(), keep)
+        # Sets that are smaller than a sketch give their similarity itself.
+        whole = np.array([len(x) < keep and len(y) < keep for x, y in zip(one, two, strict=True)], dtype=bool)
+        enough = np.where(whole, 100 * matches >= percent * size, matches >= least)
+        return pd.Series(np.where(enough, matches / np.maximum(size, 1), -1.0))
+
+    least = least_matches(keep, percent)
+    left = sets.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", estimate("sa", "sb").alias("estimate"))
+    return found.filter("estimate >= 0")
 
 
 def _full_sets(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
