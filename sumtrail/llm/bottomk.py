@@ -6,20 +6,20 @@ smallest of both sketches, and the share of it that both hold estimates their
 similarity; pairs below what a true link can have are dropped, and the others are
 confirmed on the full sets.
 
-Of KEEP values of the union at least ``least_matches`` are common in a link, but for one
-link in 10^9 (and for sets that fit into their sketch always). So a sketch need only be
-listed under its rarest values: two sketches that have ``need`` values in common share one
-of the first ``size - need + 1`` of each in the order of rarity.
+Of KEEP values of the union so many are common in a link, but for one link in 10^9, as
+``least_matches`` tells for the set's size (and for sets that fit into their sketch always).
+So a sketch need only be listed under its rarest values: two sketches that have ``need``
+values in common share one of the first ``size - need + 1`` of each in the order of rarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumtrail.llm.components import connected_components
@@ -32,23 +32,47 @@ PERCENT = 85
 KEEP = 128
 # A link at the least similarity is missed with less than this probability.
 MISS = 1e-9
-# Bits by which sketches are compared before their values are: so many longs of 64.
-LONGS = 4
+# Bits by which sets are compared before their sketches are: so many longs of 64.
+LONGS = 8
 # Members of an inverted list that all others are compared with first.
-PIVOTS = 3
+PIVOTS = 8
+# Sets of more elements need as many matches as if their number had no bound.
+LARGE = 1 << 13
 
 _SIGNATURE = ("n", "sig_a", "sig_b")
 _BITS = [f"b{k}" for k in range(LONGS)]
 
 
-def least_matches(keep: int, percent: int, miss: float = MISS) -> int:
-    """The matches that a link has among ``keep`` values of the union but with probability ``miss``."""
-    total, t = 0.0, 0
-    while True:
-        total += comb(keep, t) * (percent / 100) ** t * (1 - percent / 100) ** (keep - t)
+def least_matches(percent: int, keep: int, miss: float = MISS) -> np.ndarray:
+    """For sets of 0, 1, 2 ... elements the values that two sketches must have in common.
+
+    The matches of a link are those that ``keep`` draws without replacement from its union find
+    in the common part; the union has at most ``100 / percent`` times the set's elements. They
+    are fewer with a probability below ``miss``.
+    """
+    n = np.arange(LARGE + 1)
+    least = -(-percent * n // 100)
+    logs = np.array([lgamma(k + 1) for k in range(LARGE * 100 // percent + 2)])
+    t = np.arange(keep + 1)
+    for size in range(LARGE + 1):
+        union = 100 * size // percent
+        if union <= keep:
+            continue
+        common = -(-percent * union // 100)
+        own = t[(t <= common) & (keep - t <= union - common)]
+        chance = np.exp(
+            logs[common] - logs[own] - logs[common - own] + logs[union - common] - logs[keep - own] - logs[union - common - keep + own]
+            - (logs[union] - logs[keep] - logs[union - keep])
+        )
+        least[size] = min(least[size], own[int(np.searchsorted(np.cumsum(chance), miss, side="right"))])
+    # More draws with replacement scatter more: what holds for any number.
+    every, total = 0, 0.0
+    for k in t.tolist():
+        total += np.exp(logs[keep] - logs[k] - logs[keep - k]) * (percent / 100) ** k * (1 - percent / 100) ** (keep - k)
         if total > miss:
-            return t
-        t += 1
+            every = k
+            break
+    return np.append(least, every)
 
 
 def _signatures(owner: np.ndarray, found: np.ndarray, n: int) -> dict[str, np.ndarray]:
@@ -61,8 +85,9 @@ def _signatures(owner: np.ndarray, found: np.ndarray, n: int) -> dict[str, np.nd
     return out
 
 
-def sketches(docs: DataFrame, size: int = WORDS, keep: int = KEEP) -> DataFrame:
-    """Size, signature and bottom-k sketch of every document's set."""
+def sketches(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, keep: int = KEEP) -> DataFrame:
+    """Size, signature, bits and bottom-k sketch of every document's set, and what it needs for a link."""
+    needs = least_matches(percent, keep)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,9 +99,9 @@ def sketches(docs: DataFrame, size: int = WORDS, keep: int = KEEP) -> DataFrame:
                 # One bit less, so that the order is the same with and without a sign.
                 values = (found >> U64(1)).view(np.int64)
                 least = [values[a : a + min(n, keep)] for a, n in zip(begin.tolist(), own["n"].tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": ids[first : first + len(texts)], **own, "sketch": least, **_bits(least)})
+                yield pd.DataFrame({"doc_id": ids[first : first + len(texts)], **own, "need": needs[np.minimum(own["n"], LARGE + 1)], "sketch": least, **_bits(owner, found, len(texts))})
 
-    return docs.mapInPandas(sketch, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, sketch array<bigint>, " + ", ".join(f"{b} bigint" for b in _BITS))
+    return docs.mapInPandas(sketch, "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, need int, sketch array<bigint>, " + ", ".join(f"{b} bigint" for b in _BITS))
 
 
 def _classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +111,7 @@ def _classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts of them are looked up side by side in the end.
     """
     rows = sketched.filter("n > 0")
-    sets = rows.groupBy(*_SIGNATURE).agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("sketch", *_BITS)])
+    sets = rows.groupBy(*_SIGNATURE).agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("need", "sketch", *_BITS)])
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     parts = rows.select(*_SIGNATURE, _salt()).distinct()
     return sets, parts
@@ -96,16 +121,14 @@ def _salt() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
 
 
-def _bits(least: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """LONGS columns in which each value of a sketch sets one bit."""
-    bits = np.zeros((len(least), LONGS), dtype=U64)
-    values = np.concatenate([*least, np.empty(0, np.int64)])
-    owner = np.repeat(np.arange(len(least)), [len(x) for x in least])
-    np.bitwise_or.at(bits, (owner, (values >> 6) % LONGS), U64(1) << (values & 63).astype(U64))
+def _bits(owner: np.ndarray, found: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """LONGS columns in which each element of a set sets one bit."""
+    bits = np.zeros((n, LONGS), dtype=U64)
+    np.bitwise_or.at(bits, (owner, ((found >> U64(6)) % U64(LONGS)).astype(np.int64)), U64(1) << (found & U64(63)))
     return dict(zip(_BITS, bits.view(np.int64).T, strict=True))
 
 
-def _listed(sets: DataFrame, percent: int, keep: int) -> DataFrame:
+def _listed(sets: DataFrame) -> DataFrame:
     """The sets that may have a partner, with the values they are listed under (``prefix``).
 
     Values that no other sketch has are the rarest of all and match nothing; a set is left out if
@@ -114,21 +137,15 @@ def _listed(sets: DataFrame, percent: int, keep: int) -> DataFrame:
     rows = sets.select("node", F.explode("sketch").alias("h"))
     common = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     known = rows.join(common, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("known"))
-    need = f"if(100 * n < {percent * keep}, cast(ceil({percent} * n / 100) as int), {least_matches(keep, percent)})"
-    return (
-        sets.join(known, "node")
-        .withColumn("need", F.expr(need))
-        .filter("size(known) >= need")
-        .withColumn("prefix", F.expr("transform(slice(known, 1, size(known) - need + 1), x -> x.h)"))
-        .select("node", "first", *_SIGNATURE, "sketch", "need", "prefix", *_BITS)
-    )
+    prefix = F.expr("transform(slice(known, 1, size(known) - need + 1), x -> x.h)")
+    return sets.join(known, "node").filter("size(known) >= need").withColumn("prefix", prefix).drop("known")
 
 
 def _may_link(x: str, y: str, percent: int) -> str:
-    """SQL: neither sizes nor bits of two sketches rule out that they overlap enough."""
+    """SQL: neither sizes nor bits of two sets rule out that they are similar enough."""
     apart = " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in _BITS)
-    held = f"least({x}.n, {KEEP}) + least({y}.n, {KEEP})"
-    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {held} - ({apart}) >= 2 * greatest({x}.need, {y}.need)"
+    both = f"({x}.n + {y}.n)"
+    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {both} - ({apart}) >= 2 * ceil({percent} * {both} / {100 + percent})"
 
 
 def union_matches(one: list[np.ndarray], two: list[np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,17 +172,16 @@ def _estimated(pairs: DataFrame, sets: DataFrame, percent: int, keep: int) -> Da
     """The pairs (a, b) whose union's sketch doesn't rule a link out, and its estimate."""
 
     @F.pandas_udf("double")
-    def estimate(one: pd.Series, two: pd.Series) -> pd.Series:
+    def estimate(one: pd.Series, two: pd.Series, need: pd.Series) -> pd.Series:
         size, matches = union_matches(one.tolist(), two.tolist(), keep)
         # Sets that are smaller than a sketch give their similarity itself.
         whole = np.array([len(x) < keep and len(y) < keep for x, y in zip(one, two, strict=True)], dtype=bool)
-        enough = np.where(whole, 100 * matches >= percent * size, matches >= least)
+        enough = np.where(whole, 100 * matches >= percent * size, matches >= need)
         return pd.Series(np.where(enough, matches / np.maximum(size, 1), -1.0))
 
-    least = least_matches(keep, percent)
-    left = sets.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", estimate("sa", "sb").alias("estimate"))
+    left = sets.select(F.col("node").alias("a"), F.col("need").alias("ma"), F.col("sketch").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("need").alias("mb"), F.col("sketch").alias("sb"))
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", estimate("sa", "sb", F.greatest("ma", "mb")).alias("estimate"))
     return found.filter("estimate >= 0")
 
 
@@ -206,25 +222,25 @@ def _linked(docs: DataFrame, sets: DataFrame, size: int, percent: int, keep: int
     compared within all lists: a component in a list is one entry there, so the members
     of a large group of near copies aren't paired with each other.
     """
-    listed = written(_listed(sets, percent, keep), "listed")
+    listed = written(_listed(sets), "listed")
     full = written(_full_sets(docs, listed, size), "shingles")
-    index = written(listed.select(F.explode("prefix").alias("h"), "node", "n", "need", *_BITS), "lists")
+    slim = listed.select("prefix", "node", "n", *_BITS)
+    index = slim.select(F.explode("prefix").alias("h"), "node", "n", *_BITS)
 
-    entry = F.struct("node", "n", "need", *_BITS)
-    # The least by several hashes of the node, so that lists of like members share pivots.
-    pivots = index.groupBy("h").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("o"), entry.alias("y"))).alias(f"p{k}") for k in range(PIVOTS)])
-    pivots = pivots.select("h", F.explode(F.array_distinct(F.array(*[f"p{k}.y" for k in range(PIVOTS)]))).alias("y"))
-    near = index.alias("x").join(pivots, "h").filter(f"x.node != y.node and {_may_link('x', 'y', percent)}")
+    # The first by a hash of the node, so that lists of like members share pivots.
+    first = Window.partitionBy("h").orderBy(F.xxhash64("node"), "node")
+    pivots = index.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= PIVOTS).drop("k")
+    near = index.alias("x").join(pivots.alias("y"), F.expr(f"x.h = y.h and x.node != y.node and {_may_link('x', 'y', percent)}"))
     near = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     passed = _estimated(near, listed, percent, keep)
     best = passed.groupBy("a").agg(F.max(F.struct("estimate", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b"))
     known = written(connected_components(_confirmed(best, full, percent)), "components")
 
-    member = index.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    member = written(member, "members")
+    slim = slim.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    member = written(slim, "members").select(F.explode("prefix").alias("h"), "node", "c", "n", *_BITS)
     # Lists with one component have nothing left to compare.
     several = member.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("h")
-    entries = member.join(several, "h").groupBy("h", "c").agg(F.count("*").alias("members"), *[F.min(x).alias(x) for x in ("node", "n", "need", *_BITS)])
+    entries = member.join(several, "h").groupBy("h", "c").agg(F.count("*").alias("members"), *[F.min(x).alias(x) for x in ("node", "n", *_BITS)])
     rule = f"x.h = y.h and x.c < y.c and (x.members > 1 or y.members > 1 or {_may_link('x', 'y', percent)})"
     facing = entries.alias("x").join(entries.alias("y"), F.expr(rule)).select("x.h", F.col("x.c").alias("c"), F.col("y.c").alias("d"), F.expr("x.members = 1 and y.members = 1").alias("one"), F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     facing = written(facing, "facing")
@@ -254,7 +270,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     gives an empty result. Other columns of ``docs`` are not read.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id is not null")
-    sketched = written(sketches(docs, size, KEEP), "sketches")
+    sketched = written(sketches(docs, size, percent, KEEP), "sketches")
     sets, parts = _classes(sketched)
     linked = _linked(docs, sets, size, percent, KEEP).withColumnRenamed("id", "node")
     group = sets.join(linked, "node", "left").select(*_SIGNATURE, "first", F.coalesce("component", "node").alias("component"))
