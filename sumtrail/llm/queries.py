@@ -9,6 +9,8 @@ from sumtrail.llm.decontaminate import op5_decontaminate
 from sumtrail.llm.fingerprints import op9_fingerprints
 from sumtrail.llm.jaccard import op6_jaccard
 from sumtrail.llm.langid import op7_language_id
+from sumtrail.llm.merkle import op12_merkle
+from sumtrail.llm.negatives import op13_negatives
 from sumtrail.llm.secrets import op10_secrets
 from sumtrail.llm.substrings import op1_substrings
 from sumtrail.llm.toxicity import op3_toxicity
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_secrets": op10_secrets,
     "op11_bottom_k": op11_bottom_k,
+    "op12_merkle": op12_merkle,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {}
