@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sumtrail.llm.bpe import default_path, encoder
 from sumtrail.llm.folders import shared_folder, small_batches
-from sumtrail.llm.ordered import range_number
+from sumtrail.llm.ordered import by_range, range_number
 from sumtrail.llm.text import U64
 
 LANES = 32
@@ -28,6 +28,8 @@ PRECISION = 20
 # Ids of a group, unless its last document has more.
 GROUP_IDS = 1 << 20
 END_ID = 2
+# Code points that are encoded together, and one more text.
+BATCH_CHARS = 1 << 20
 _LOW = U64(1 << 31)
 
 FILE = (
@@ -132,12 +134,24 @@ def write_token_files(docs: DataFrame, folder: str, path: str, doc_id: str = "do
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id is not null")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("range", range_number(rows, "doc_id", n)).repartition(n, "range").sortWithinPartitions("range", "doc_id", "text")
+    rows = by_range(rows.withColumn("range", range_number(rows, "doc_id", n)), n).sortWithinPartitions("range", "doc_id", "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         names, parts, held, place = [], [], 0, {"range": None, "number": 0, "start": 0}
 
+        def some(texts: pd.Series) -> Iterator[tuple[int, list[str]]]:
+            """Texts that are encoded together, and the place of the first."""
+            first, size, out = 0, 0, []
+            for k, text in enumerate(texts):
+                if size >= BATCH_CHARS:
+                    yield first, out
+                    first, size, out = k, 0, []
+                out.append(text if isinstance(text, str) else "")
+                size += len(out[-1])
+            if out:
+                yield first, out
+
         def group() -> pd.DataFrame:
             lengths = np.array([len(p) for p in parts], dtype="<u4")
             row = place | {"doc_ids": np.array(names, dtype="<i8").tobytes(), "lengths": lengths.tobytes()} | encode_ids(np.concatenate(parts))
@@ -145,16 +159,19 @@ def write_token_files(docs: DataFrame, folder: str, path: str, doc_id: str = "do
             return pd.DataFrame([row])
 
         for batch in batches:
-            for r, name, value in zip(batch["range"], batch["doc_id"], batch["text"], strict=True):
-                if parts and (r != place["range"] or held >= GROUP_IDS):
-                    yield group()
-                    names, parts, held = [], [], 0
-                if r != place["range"]:
-                    place.update(range=int(r), number=0, start=0)
-                ids = np.append(enc.word_ids(value if isinstance(value, str) else ""), end_id).astype(np.uint32)
-                names.append(name)
-                parts.append(ids)
-                held += len(ids)
+            ranges, ids = batch["range"].tolist(), batch["doc_id"].tolist()
+            for first, texts in some(batch["text"]):
+                for k, own in enumerate(enc.batch_ids(texts), first):
+                    if parts and (ranges[k] != place["range"] or held >= GROUP_IDS):
+                        yield group()
+                        names, parts, held = [], [], 0
+                    if ranges[k] != place["range"]:
+                        place.update(range=ranges[k], number=0, start=0)
+                    own = np.append(own, end_id).astype(np.uint32)
+                    names.append(ids[k])
+                    parts.append(own)
+                    held += len(own)
+        enc.rest()
         if parts:
             yield group()
 

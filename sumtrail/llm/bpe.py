@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrail.llm.folders import small_batches
+from sumtrail.llm.text import release
 
 LEAF_CHARS = 4096
 PART_CHARS = 1 << 16
@@ -34,12 +35,16 @@ WINDOW_CHARS = 32
 MEMO_WORDS = 400_000
 MEMO_KEPT = 250_000
 MEMO_CHARS = 64
+# Words that a worker keeps from one task to the next.
+REST_WORDS = 150_000
 
-# Punctuation that often follows a word.
+# Punctuation that often follows a word; after a letter it is a word of its own.
 _CLOSING = b".,;:!?#*$%&"
 
-_SPACE = np.zeros(128, dtype=bool)
+_SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.array([bytes((c,)).isalpha() for c in range(256)])
+_ENDS = np.isin(np.arange(256), np.frombuffer(_CLOSING, np.uint8))
 
 
 class Tokens:
@@ -90,9 +95,9 @@ class TreeEncoder:
         """Add words of ``n`` tokens each, whose ids and spans follow each other."""
         count, used = len(self.number), self.used + len(ids)
         if used > len(self.ids):
-            self.ids, self.spans = np.resize(self.ids, 2 * used), np.resize(self.spans, 2 * used)
+            self.ids, self.spans = (np.concatenate((x, np.zeros(2 * used - len(x), np.int32))) for x in (self.ids, self.spans))
         if count + len(words) >= len(self.first):
-            self.first = np.resize(self.first, 2 * (count + len(words)) + 1)
+            self.first = np.concatenate((self.first, np.zeros(2 * (count + len(words)) + 1 - len(self.first), np.int64)))
         self.ids[self.used : used], self.spans[self.used : used] = ids, spans
         self.first[count + 1 : count + 1 + len(words)] = self.used + np.cumsum(n)
         self.number.update(zip(words, range(count, count + len(words)), strict=True))
@@ -106,21 +111,27 @@ class TreeEncoder:
         """
         whole, cores, rests, shifts, fresh = [], [], [], [], {}
         for word in words:
-            core = word.rstrip(_CLOSING)
-            if core.isalpha():  # of bytes: ASCII letters
-                size, core = len(core), core.lower()
-            elif core != word and core:
-                text = core.decode()
-                if text[-1].lower().isalpha():
-                    size = len(text)
+            if word.isalpha():  # of bytes: ASCII letters
+                core, size, rest = word.lower(), len(word), b""
+                fresh[core] = None
+                if core == word:
+                    continue
+            else:
+                core = word.rstrip(_CLOSING)
+                if core.isalpha():
+                    size, core = len(core), core.lower()
+                elif core != word and core:
+                    text = core.decode()
+                    if text[-1].lower().isalpha():
+                        size = len(text)
+                    else:
+                        core = word
                 else:
                     core = word
-            else:
-                core = word
-            rest = word[len(core) :]
-            fresh[core] = None
-            if rest:
-                fresh[rest] = None
+                rest = word[len(core) :]
+                fresh[core] = None
+                if rest:
+                    fresh[rest] = None
             if rest or core != word:
                 whole.append(word)
                 cores.append(core)
@@ -138,7 +149,10 @@ class TreeEncoder:
             self._store(new, n, np.array(e.ids, dtype=np.int32), (spans[:, 0] << 16) | spans[:, 1])
         keep = [k for k, w in enumerate(whole) if w not in self.number]
         if keep:
-            parts = np.array([(self.number[cores[k]], self.number[rests[k]] if rests[k] else -1) for k in keep])
+            parts = np.stack((
+                np.fromiter((self.number[cores[k]] for k in keep), np.int64, len(keep)),
+                np.fromiter((self.number[rests[k]] if rests[k] else -1 for k in keep), np.int64, len(keep)),
+            ), axis=1)
             lo = np.where(parts < 0, 0, self.first[parts])
             n = np.where(parts < 0, 0, self.first[parts + 1] - lo)
             flat = n.ravel()
@@ -151,25 +165,56 @@ class TreeEncoder:
         """The places of words in the memo, after learning those that are new."""
         which = list(map(self.number.get, words))
         if None in which:
-            missing = dict.fromkeys(w for w, k in zip(words, which, strict=True) if k is None)
+            at = [i for i, k in enumerate(which) if k is None]
+            missing = dict.fromkeys([words[i] for i in at])
             if len(self.number) + 2 * len(missing) > MEMO_WORDS:
                 self._make_room(2 * len(missing))
-                missing = dict.fromkeys(w for w in words if w not in self.number)
+                at, missing = range(len(words)), dict.fromkeys(w for w in words if w not in self.number)
             self._learn(list(missing))
-            which = list(map(self.number.get, words))
-        return np.array(which)
-
-    def word_ids(self, text: str) -> np.ndarray:
-        """The ids alone, word by word; texts with very long words go through the tree."""
-        words = text.encode().split()
-        if not words:
-            return np.empty(0, dtype=np.int32)
-        if max(map(len, words)) > MEMO_CHARS:
-            return self.tokens(text).ids
+            for i in at:
+                which[i] = self.number[words[i]]
+        return np.array(which, dtype=np.int64)
+
+    def rest(self) -> None:
+        """Between tasks only the words that were met first are remembered."""
+        self.number = dict(islice(self.number.items(), REST_WORDS))
+        self.used = int(self.first[len(self.number)])
+        self.ids, self.spans = self.ids[: self.used].copy(), self.spans[: self.used].copy()
+        self.first = self.first[: len(self.number) + 1].copy()
+        release()
+
+    def batch_ids(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids alone of some texts, word by word; texts with very long words go through the tree."""
+        data = [t.encode() for t in texts]
+        raw = np.frombuffer(b"\n".join(data), dtype=np.uint8)
+        # The library splits between a letter and punctuation, so the latter is a word of its own.
+        split = np.flatnonzero(_ENDS[raw[1:]] & _LETTER[raw[:-1]]) + 1
+        begins = np.cumsum([0, *(len(t) + 1 for t in data)])
+        begins += np.searchsorted(split, begins)
+        raw = np.insert(raw, split, 0x20)
+        space = np.ones(len(raw) + 2, dtype=bool)
+        space[1:-1] = _SPACE[raw]
+        change = np.flatnonzero(space[1:] != space[:-1])
+        first = np.searchsorted(change[0::2], begins)
+        words = raw.tobytes().split()
+        large = np.flatnonzero(change[1::2] - change[0::2] > MEMO_CHARS)
+        long = {k: self.tokens(texts[k]).ids for k in np.unique(np.searchsorted(first, large, side="right") - 1).tolist()}
+        if long:
+            keep = np.ones(len(words), dtype=bool)
+            for k in long:
+                keep[first[k] : first[k + 1]] = False
+            words = [w for w, own in zip(words, keep.tolist(), strict=True) if own]
+            first = np.concatenate(([0], np.cumsum(keep)))[first]
         which = self._numbers(words)
         lo = self.first[which]
         n = self.first[which + 1] - lo
-        return self.ids[np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(lo - ends[:-1], n)]
+        cut = ends[first]
+        return [long[k] if k in long else ids[a:b] for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+
+    def word_ids(self, text: str) -> np.ndarray:
+        return self.batch_ids([text])[0]
 
     def _direct(self, text: str, at: int) -> Tokens:
         e = self.tokenizer.encode(text, add_special_tokens=False)
@@ -289,6 +334,7 @@ def _encoded(text: Column, path: str, schema: str) -> Column:
         for batch in batches:
             rows = [_row(enc, enc.tokens(t if isinstance(t, str) else "").ids, with_ids) for t in batch]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        enc.rest()
 
     return encode(text)
 
@@ -308,6 +354,7 @@ def _long_texts(texts: DataFrame, path: str, schema: str) -> DataFrame:
             for row in batch.itertuples():
                 t = enc.tokens(row.part, row.at)
                 yield pd.DataFrame([{"key": row.key, "at": row.at, "part": row.part, "ids": t.ids.tobytes(), "start": t.start.tobytes(), "end": t.end.tobytes()}])
+        enc.rest()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(path)

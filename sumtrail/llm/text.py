@@ -7,7 +7,9 @@ UTF-8 bytes without decoding.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import suppress
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -16,7 +18,7 @@ import numpy as np
 U64 = np.uint64
 # Texts are taken together until they have this many bytes, so that memory in a
 # task depends on this and on the longest text, not on the number of rows.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 # Longer words are hashed by BLAKE2 instead of a polynomial.
 LONG_WORD = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,6 +55,12 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
+def release() -> None:
+    """Give back memory that is free; a worker that waits for its next task would keep it."""
+    with suppress(OSError, AttributeError):  # only the GNU C library has this
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """The UTF-8 bytes of consecutive texts (None as empty), and the index of the first."""
     first, size, out = 0, 0, []
