@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumtrail.llm.folders import small_batches
-from sumtrail.llm.ordered import range_number
+from sumtrail.llm.ordered import by_range, range_number
 from sumtrail.llm.text import U64, mix
 
 PRIME = (1 << 31) - 1
@@ -178,7 +178,8 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         F.array(F.struct(F.col("range"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("range"), F.lit(1).alias("guest")))
     )
     dealt = rows.withColumn("range", number).join(guest, "doc_id", "left").select("doc_id", "text", F.explode(places).alias("p"))
-    dealt = dealt.select("doc_id", "text", "p.range", "p.guest").repartition(n, "range").sortWithinPartitions("range", "guest", "doc_id", "text")
+    dealt = dealt.select("doc_id", "text", "p.range", "p.guest")
+    dealt = by_range(dealt, n).sortWithinPartitions("range", "guest", "doc_id", "text")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = None
