@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumtrail.llm.folders import small_batches
-from sumtrail.llm.text import U64, Words, chunks, mix, text_of
+from sumtrail.llm.text import U64, Words, chunks, mix, release, text_of
 
 WORDS = 5
 SIMILARITY = 0.75
@@ -159,14 +159,15 @@ def _found(text: Column, items: list[tuple[int, str | None]], similarity: float)
             for _, texts in chunks(batch):
                 out += benchmark.matches(texts)
             yield pd.Series(out, dtype=object)
+        release()
 
     return search(text)
 
 
 def benchmark_matches(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, into: str = "matches"
 ) -> DataFrame:
-    """Add ``matches``, one entry for each item that a window of the text is similar to.
+    """Add ``matches`` (or ``into``), one entry for each item that a window of the text is similar to.
 
     A column of that name is replaced. A text shorter than an item is compared as a
     whole. Null and empty texts have none; items that are null, empty or without words match nothing,
@@ -179,12 +180,12 @@ def benchmark_matches(
     items = benchmark.select(F.col(f"`{item_id}`").cast("bigint").alias("i"), F.col(f"`{item_text}`").alias("t")).dropna(subset=["t"])
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "matches"]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != into]
     found = []
     for k in range(n):
         block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t")
         found.append(_found(F.col(f"`{text}`"), [tuple(r) for r in block.collect()], similarity))
-    return docs.select(*others, F.concat(*found).alias("matches"))
+    return docs.select(*others, F.concat(*found).alias(into))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -198,5 +199,5 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item."""
     small_batches(spark)
-    found = benchmark_matches(docs.withColumn("__text", F.col("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="__text")
-    return found.filter(F.size("matches") == 0).select(*docs.columns)
+    found = benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="__matches")
+    return found.filter(F.size("__matches") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

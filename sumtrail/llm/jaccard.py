@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sumtrail.llm.components import connected_components
 from sumtrail.llm.folders import small_batches, written
-from sumtrail.llm.text import U64, Words, chunks, mix, text_of
+from sumtrail.llm.text import U64, Words, chunks, mix, release, text_of
 
 WORDS = 5
 PERCENT = 75
@@ -33,7 +33,7 @@ PIVOTS = 6
 # Parts into which the rows of one key are dealt while their least id is found.
 SALTS = 32
 # Bytes of text that are packed together in the screen.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 12 << 20
 # Up to so many ids are broadcast; more are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -149,6 +149,7 @@ def _screen(docs: DataFrame, size: int) -> DataFrame:
                     "shared": b"", "n": b"", "m": b"", "sig_a": b"", "sig_b": b"",
                 })
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PACK.split(", ")])
+        release()
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         stats, prints, owners = [], [], []
@@ -312,15 +313,30 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     empty set and links with nothing. Two documents link when their similarity is at
     least 0.75; the component is the smallest id reached by links.
 
-    Rows with a null id have no result. Rows that repeat an id count as one document,
-    with the largest of their sets. Other columns of ``docs`` are not read.
+    Rows with a null id have no result. Rows that repeat an id have a result each, and each text is
+    judged for itself. Other columns of ``docs`` are not read.
     """
-    docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id is not null")
+    if _distinct(docs):
+        return _components(docs, size)
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = _components(rows.select(F.col("row").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id"), "row")
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+
+
+def _distinct(docs: DataFrame) -> bool:
+    """Whether no two rows have the same id."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() == 0
+
+
+def _components(docs: DataFrame, size: int) -> DataFrame:
+    """As ``jaccard_components``, for documents with distinct ids."""
     stats = written(_screen(docs, size), "screen")
     alive = stats.filter("alive")
     first = written(_with_least(alive, ["n", "sig_a", "sig_b"], "first", "copies").select("doc_id", "first"), "classes")
     chosen = first.filter("doc_id = first").select("doc_id")
-    sets = written(_member_sets(docs, chosen, size).dropDuplicates(["doc_id"]), "shingles")
+    sets = written(_member_sets(docs, chosen, size), "shingles")
     parts = _linked(_prefixes(sets)).withColumnRenamed("id", "first")
     component = first.join(parts, "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
     found = stats.select("doc_id", F.col("n").alias("n_shingles")).join(component, "doc_id", "left")
@@ -328,13 +344,28 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
-    """Near-duplicate component of every document."""
+    """Near-duplicate component of every document.
+
+    Nulls, short texts and repeated rows are handled as ``jaccard_components`` says.
+    """
     small_batches(spark)
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component, and rows without id."""
+    """Keep one document of each component, that with the smallest id, and rows without id.
+
+    Rows that repeat an id are told apart by a number, and one of each component stays.
+    """
     small_batches(spark)
-    extra = jaccard_components(docs).filter("doc_id != component_id").select("doc_id")
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.filter("doc_id is not null").select("doc_id")
+    if _distinct(named):
+        extra = jaccard_components(docs).filter("doc_id != component_id").select("doc_id")
+        return docs.join(extra, "doc_id", "left_anti").select(*own)
+    rows = written(docs.select(*own, F.monotonically_increasing_id().alias("__row")), "rows")
+    given = rows.filter("doc_id is not null")
+    found = jaccard_components(given, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    chosen = found.join(given.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("least"))
+    keep = chosen.select(F.col("least.__row").alias("__row"))
+    return given.join(keep, "__row", "left_semi").union(rows.filter("doc_id is null").select(*given.columns)).select(*own)

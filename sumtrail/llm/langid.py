@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sumtrail.llm.folders import small_batches
+from sumtrail.llm.folders import small_batches, written
+from sumtrail.llm.text import release
 
 PROFILE = 300
 LONGEST = 3
 UNDETERMINED = "und"
 # Texts are taken together up to this many code points.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 18
 _BITS = 21  # a code point
 
 
@@ -150,6 +151,8 @@ def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", s
                 total[name] = grams, np.bincount(where, np.concatenate([p[1] for p in parts]), len(grams)).astype(np.int64)
         for name, (grams, n) in total.items():
             yield pd.DataFrame({"lang": name, "gram": grams, "n": n})
+        total.clear()
+        release()
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna()
     counts = rows.mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -201,11 +204,14 @@ class Identifier:
         return langs, scores
 
 
-def identify_languages(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", size: int = PROFILE) -> DataFrame:
-    """Add ``lang_pred`` and ``lang_score`` to ``docs``, replacing columns of these names.
+def identify_languages(
+    docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", size: int = PROFILE, into: tuple[str, str] = ("lang_pred", "lang_score")
+) -> DataFrame:
+    """Add the language and its score to ``docs``, replacing columns of these names (``into``).
 
     Texts that are null, empty or without a letter get ``und`` and 0; so does every text
-    if there are no profiles. Whole texts count, long ones piece by piece.
+    if there are no profiles. Whole texts count, long ones piece by piece. Of equally near languages
+    the first by name is taken. Repeated rows have the same result each.
     """
     schema = "lang_pred string, lang_score double"
 
@@ -215,10 +221,11 @@ def identify_languages(docs: DataFrame, profiles: dict[str, list[int]], text: st
         for batch in batches:
             langs, scores = identifier(batch.tolist())
             yield pd.DataFrame({"lang_pred": langs, "lang_score": scores})
+        release()
 
-    others = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    found = docs.select(*[F.col(f"`{c}`") for c in others], identify(F.col(f"`{text}`")).alias("__lang"))
-    return found.select(*[F.col(f"`{c}`") for c in others], "__lang.lang_pred", "__lang.lang_score")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in into]
+    found = docs.select(*others, identify(F.col(f"`{text}`")).alias("__lang"))
+    return found.select(*others, F.col("__lang.lang_pred").alias(into[0]), F.col("__lang.lang_score").alias(into[1]))
 
 
 def bucket(doc_id: str, n: int):
@@ -227,7 +234,11 @@ def bucket(doc_id: str, n: int):
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
-    """Language of every document, learned from two thirds of the documents."""
+    """Language of every document, learned from two thirds of the documents.
+
+    A null text, or one without a letter, is ``und`` with score 0. Ties go to the first language by
+    name; repeated rows have a result each; a null id counts as the empty text for the split.
+    """
     small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = bucket("doc_id", 3) == 1
@@ -246,18 +257,17 @@ LEAST_SCORE = 0.05
 STEPS = 1000
 
 
-def least_scores(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", lang: str = "lang") -> dict[str, float]:
+def least_scores(found: DataFrame, languages: list[str], lang: str = "lang", into: tuple[str, str] = ("lang_pred", "lang_score")) -> dict[str, float]:
     """For each language the least score that its texts can have, from all labelled rows.
 
-    A row counts if it is found to be in the language that it is labelled with. Quartiles
-    stay where they are while less than a quarter of a language's rows are something else.
+    ``found`` are identified rows. A row counts if it is found to be in the language that it is labelled
+    with. Quartiles stay where they are while less than a quarter of a language's rows are something else.
     """
-    found = identify_languages(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna(), profiles)
-    step = F.floor(F.col("lang_score") * STEPS).cast("int").alias("step")
-    rows = found.filter(F.col("lang") == F.col("lang_pred")).groupBy("lang", step).count().collect()
-    counts = {name: np.zeros(STEPS + 1, dtype=np.int64) for name in profiles}
-    for r in rows:
-        counts[r["lang"]][r["step"]] += r["count"]
+    pred, score = F.col(f"`{into[0]}`"), F.col(f"`{into[1]}`")
+    own = found.filter(F.col(f"`{lang}`") == pred).groupBy(pred.alias("lang"), F.floor(score * STEPS).cast("int").alias("step"))
+    counts = {name: np.zeros(STEPS + 1, dtype=np.int64) for name in languages}
+    for r in own.agg(F.count("*").alias("n")).collect():
+        counts[r["lang"]][r["step"]] += r["n"]
 
     def least(n: np.ndarray) -> float:
         if n.sum() < LEAST_ROWS:
@@ -270,12 +280,17 @@ def least_scores(docs: DataFrame, profiles: dict[str, list[int]], text: str = "t
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: without letters, or far from every profile."""
+    """Drop documents in no language: without letters, or far from every profile.
+
+    The documents are identified once and written; thresholds and the result come from that table.
+    Without any labelled text, all with a letter stay. Repeated rows stay or go together.
+    """
     small_batches(spark)
     profiles = language_profiles(docs)
     if not profiles:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    least = F.create_map(*[F.lit(x) for pair in least_scores(docs, profiles).items() for x in pair])
-    found = identify_languages(docs, profiles)
-    known = (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least[F.col("lang_pred")])
-    return found.filter(known).select(*docs.columns)
+    into = ("__lang_pred", "__lang_score")
+    found = written(identify_languages(docs, profiles, into=into), "languages")
+    least = F.create_map(*[F.lit(x) for pair in least_scores(found, list(profiles), into=into).items() for x in pair])
+    known = (F.col(into[0]) != UNDETERMINED) & (F.col(into[1]) >= least[F.col(into[0])])
+    return found.filter(known).select(*[F.col(f"`{c}`") for c in docs.columns])
