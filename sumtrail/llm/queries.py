@@ -11,6 +11,7 @@ from sumtrail.llm.jaccard import op6_jaccard
 from sumtrail.llm.langid import op7_language_id
 from sumtrail.llm.merkle import op12_merkle
 from sumtrail.llm.negatives import op13_negatives
+from sumtrail.llm.oracles import ORACLE_SQL
 from sumtrail.llm.secrets import op10_secrets
 from sumtrail.llm.substrings import op1_substrings
 from sumtrail.llm.toxicity import op3_toxicity
@@ -32,4 +33,4 @@ QUERIES = {
     "op13_negatives": op13_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
