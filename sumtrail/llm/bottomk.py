@@ -207,11 +207,57 @@ def _full_sets(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     return found.join(sets.select("node", "first", *_SIGNATURE), ["first", *_SIGNATURE]).select("node", "n", "shingles").dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _differences(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """``pairs`` of nodes ``a`` and ``b`` with the sizes of both sets and ``apart``, how many elements only one of them has."""
     left = full.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = full.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
+    apart = F.col("na") + F.col("nb") - 2 * F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").withColumn("apart", apart).drop("sa", "sb")
+
+
+def _similar(apart: str, both: str, percent: int) -> str:
+    """SQL: two sets of ``both`` elements in all that differ in ``apart`` are similar enough."""
+    return f"{100 + percent} * ({apart}) <= {100 - percent} * ({both})"
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    return _differences(pairs.select("a", "b"), full).filter(_similar("apart", "na + nb", percent)).select("a", "b")
+
+
+def _radii(known: DataFrame, full: DataFrame) -> DataFrame:
+    """``known`` with ``r``, how many elements a set and the first of its component don't share.
+
+    The first set is repeated for the parts that its component's members are dealt into.
+    """
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
+    roots = known.select("component", salt).distinct().join(full.select(F.col("node").alias("component"), F.col("n").alias("nr"), F.col("shingles").alias("sr")), "component")
+    own = known.select("id", "component", salt).join(full.withColumnRenamed("node", "id"), "id")
+    r = F.col("n") + F.col("nr") - 2 * F.size(F.array_intersect("shingles", "sr"))
+    return own.join(roots, ["component", "salt"]).select("id", "component", r.alias("r"))
+
+
+def _spread(facing: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the sets in facing components ``c`` and ``d`` that may link.
+
+    The number of elements that two sets don't share is a metric. So no member of a component
+    is nearer to another's than their first sets are, less the distances of both from these;
+    most components are ruled out as a whole, and most members of the others. What is left is
+    compared once, not for each list that they share.
+    """
+    own = [F.max(F.when(F.col("node") == F.col("c"), F.col(b))).alias(b) for b in _BITS]
+    whole = sets.groupBy("c").agg(F.max("r").alias("reach"), F.max("n").alias("most"), *own)
+    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITS)
+    pairs = facing.distinct().alias("p").join(whole.alias("x"), F.expr("p.c = x.c"))
+    pairs = pairs.join(whole.alias("y"), F.expr(f"p.d = y.c and {_similar(f'{apart} - x.reach - y.reach', 'x.most + y.most', percent)}"))
+    pairs = pairs.select(F.col("p.c").alias("a"), F.col("p.d").alias("b"), F.col("x.reach").alias("cr"), F.col("y.reach").alias("dr"), F.col("x.most").alias("cm"), F.col("y.most").alias("dm"))
+    near = _differences(pairs, full).filter(_similar("apart - cr - dr", "cm + dm", percent))
+    near = written(near.select(F.col("a").alias("c"), F.col("b").alias("d"), "apart", "dr", "dm"), "near")
+
+    ones = near.alias("f").join(sets.alias("x"), F.expr(f"f.c = x.c and {_similar('abs(f.apart - x.r) - f.dr', 'x.n + f.dm', percent)}"))
+    rule = f"f.d = y.c and {_may_link('x', 'y', percent)}"
+    for one, two in ("xy", "yx"):
+        rule += f" and {_similar(f'abs(f.apart - {one}.r) - {two}.r', 'x.n + y.n', percent)}"
+    return ones.join(sets.alias("y"), F.expr(rule)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def _linked(docs: DataFrame, sets: DataFrame, size: int, percent: int, keep: int) -> DataFrame:
@@ -220,7 +266,8 @@ def _linked(docs: DataFrame, sets: DataFrame, size: int, percent: int, keep: int
     First the members of each list are compared with a few pivots; of what passes, each
     set's best estimate is confirmed. Then whatever is not yet in one component is
     compared within all lists: a component in a list is one entry there, so the members
-    of a large group of near copies aren't paired with each other.
+    of a large group of near copies aren't paired with each other, and not with other sets
+    that are too far from the first of the group (``_spread``).
     """
     listed = written(_listed(sets), "listed")
     full = written(_full_sets(docs, listed, size), "shingles")
@@ -236,21 +283,16 @@ def _linked(docs: DataFrame, sets: DataFrame, size: int, percent: int, keep: int
     best = passed.groupBy("a").agg(F.max(F.struct("estimate", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b"))
     known = written(connected_components(_confirmed(best, full, percent)), "components")
 
-    slim = slim.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    member = written(slim, "members").select(F.explode("prefix").alias("h"), "node", "c", "n", *_BITS)
+    slim = slim.join(_radii(known, full).withColumnRenamed("id", "node"), "node", "left")
+    slim = written(slim.withColumn("c", F.coalesce("component", "node")).withColumn("r", F.coalesce("r", F.lit(0))).drop("component"), "members")
+    member = slim.select(F.explode("prefix").alias("h"), "node", "c", "n", *_BITS)
     # Lists with one component have nothing left to compare.
     several = member.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("h")
     entries = member.join(several, "h").groupBy("h", "c").agg(F.count("*").alias("members"), *[F.min(x).alias(x) for x in ("node", "n", *_BITS)])
     rule = f"x.h = y.h and x.c < y.c and (x.members > 1 or y.members > 1 or {_may_link('x', 'y', percent)})"
-    facing = entries.alias("x").join(entries.alias("y"), F.expr(rule)).select("x.h", F.col("x.c").alias("c"), F.col("y.c").alias("d"), F.expr("x.members = 1 and y.members = 1").alias("one"), F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    facing = entries.alias("x").join(entries.alias("y"), F.expr(rule)).select(F.col("x.c").alias("c"), F.col("y.c").alias("d"), F.expr("x.members = 1 and y.members = 1").alias("one"), F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     facing = written(facing, "facing")
-    spread = (
-        facing.filter("not one").select("h", "c", "d")
-        .join(member.alias("x"), ["h", "c"])
-        .join(member.withColumnRenamed("c", "d").alias("y"), ["h", "d"])
-        .filter(_may_link("x", "y", percent))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    )
+    spread = _spread(facing.filter("not one").select("c", "d"), slim.drop("prefix"), full, percent)
     rest = facing.filter("one").select("a", "b").union(spread).distinct()
     more = _confirmed(_estimated(rest, listed, percent, keep), full, percent)
     return connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
