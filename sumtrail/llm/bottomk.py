@@ -41,6 +41,7 @@ LARGE = 1 << 13
 
 _SIGNATURE = ("n", "sig_a", "sig_b")
 _BITS = [f"b{k}" for k in range(LONGS)]
+_PAIR = ["x.c AS c", "y.c AS d", "x.node AS a", "y.node AS b"]
 
 
 def least_matches(percent: int, keep: int, miss: float = MISS) -> np.ndarray:
@@ -141,11 +142,15 @@ def _listed(sets: DataFrame) -> DataFrame:
     return sets.join(known, "node").filter("size(known) >= need").withColumn("prefix", prefix).drop("known")
 
 
+def _apart(x: str, y: str) -> str:
+    """SQL: at least so many elements two sets don't share."""
+    return " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in _BITS)
+
+
 def _may_link(x: str, y: str, percent: int) -> str:
     """SQL: neither sizes nor bits of two sets rule out that they are similar enough."""
-    apart = " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in _BITS)
     both = f"({x}.n + {y}.n)"
-    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {both} - ({apart}) >= 2 * ceil({percent} * {both} / {100 + percent})"
+    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {both} - ({_apart(x, y)}) >= 2 * ceil({percent} * {both} / {100 + percent})"
 
 
 def union_matches(one: list[np.ndarray], two: list[np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +242,7 @@ def _radii(known: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def _spread(facing: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the sets in facing components ``c`` and ``d`` that may link.
+    """Pairs (a, b) of the sets in facing components ``c`` and ``d`` that may link, and the ``gap`` of their bits.
 
     The number of elements that two sets don't share is a metric. So no member of a component
     is nearer to another's than their first sets are, less the distances of both from these;
@@ -246,7 +251,7 @@ def _spread(facing: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -
     """
     own = [F.max(F.when(F.col("node") == F.col("c"), F.col(b))).alias(b) for b in _BITS]
     whole = sets.groupBy("c").agg(F.max("r").alias("reach"), F.max("n").alias("most"), *own)
-    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITS)
+    apart = _apart("x", "y")
     pairs = facing.distinct().alias("p").join(whole.alias("x"), F.expr("p.c = x.c"))
     pairs = pairs.join(whole.alias("y"), F.expr(f"p.d = y.c and {_similar(f'{apart} - x.reach - y.reach', 'x.most + y.most', percent)}"))
     pairs = pairs.select(F.col("p.c").alias("a"), F.col("p.d").alias("b"), F.col("x.reach").alias("cr"), F.col("y.reach").alias("dr"), F.col("x.most").alias("cm"), F.col("y.most").alias("dm"))
@@ -257,7 +262,7 @@ def _spread(facing: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -
     rule = f"f.d = y.c and {_may_link('x', 'y', percent)}"
     for one, two in ("xy", "yx"):
         rule += f" and {_similar(f'abs(f.apart - {one}.r) - {two}.r', 'x.n + y.n', percent)}"
-    return ones.join(sets.alias("y"), F.expr(rule)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return ones.join(sets.alias("y"), F.expr(rule)).selectExpr(*_PAIR, f"{_apart('x', 'y')} AS gap")
 
 
 def _linked(docs: DataFrame, sets: DataFrame, size: int, percent: int, keep: int) -> DataFrame:
@@ -290,12 +295,22 @@ def _linked(docs: DataFrame, sets: DataFrame, size: int, percent: int, keep: int
     several = member.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("h")
     entries = member.join(several, "h").groupBy("h", "c").agg(F.count("*").alias("members"), *[F.min(x).alias(x) for x in ("node", "n", *_BITS)])
     rule = f"x.h = y.h and x.c < y.c and (x.members > 1 or y.members > 1 or {_may_link('x', 'y', percent)})"
-    facing = entries.alias("x").join(entries.alias("y"), F.expr(rule)).select(F.col("x.c").alias("c"), F.col("y.c").alias("d"), F.expr("x.members = 1 and y.members = 1").alias("one"), F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    facing = entries.alias("x").join(entries.alias("y"), F.expr(rule)).selectExpr(*_PAIR, "x.members = 1 and y.members = 1 AS one", f"{_apart('x', 'y')} AS gap")
     facing = written(facing, "facing")
     spread = _spread(facing.filter("not one").select("c", "d"), slim.drop("prefix"), full, percent)
-    rest = facing.filter("one").select("a", "b").union(spread).distinct()
-    more = _confirmed(_estimated(rest, listed, percent, keep), full, percent)
-    return connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    rest = written(facing.filter("one").drop("one").union(spread), "candidates")
+
+    # The closest two of each pair of components first; most others are in one component then.
+    closest = rest.groupBy("c", "d").agg(F.min(F.struct("gap", "a", "b")).alias("m")).select("c", "d", "m.a", "m.b")
+    first = written(_differences(closest, full).filter(_similar("apart", "na + nb", percent)).select(F.col("c").alias("a"), F.col("d").alias("b")), "closest")
+    merged = connected_components(first)
+    apart = rest.select("c", "d").distinct()
+    for name in ("c", "d"):
+        apart = apart.join(merged.select(F.col("id").alias(name), F.col("component").alias(f"{name}_now")), name, "left")
+    apart = apart.filter(F.coalesce("c_now", "c") != F.coalesce("d_now", "d")).select("c", "d")
+    open_pairs = rest.join(apart, ["c", "d"]).select("a", "b").distinct()
+    more = _confirmed(_estimated(open_pairs, listed, percent, keep), full, percent)
+    return connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(first).union(more))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
