@@ -6,6 +6,9 @@ encoded anew, twice as wide each time, until it has a token boundary with the sa
 tokens before and after it in common with the left side, and another with the right.
 Between these two boundaries the window's tokens replace those of the sides.
 
+Normalisation composes and reorders characters, so no cut (of a leaf, part or window) is made
+within a run of characters that it may join to the one before; see ``cut_before``.
+
 Texts of more than ``PART_CHARS`` code points are cut into rows first, so several tasks
 encode one text; their results are joined in the same way, pair by pair.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, islice
@@ -47,6 +51,28 @@ _LETTER = np.array([bytes((c,)).isalpha() for c in range(256)])
 _ENDS = np.isin(np.arange(256), np.frombuffer(_CLOSING, np.uint8))
 
 
+def _joined(char: str) -> bool:
+    """Whether normalisation may combine ``char`` with what stands before it.
+
+    Marks, the vowels and finals of Hangul, and characters that this Unicode version doesn't know.
+    """
+    return char >= "\u0300" and (unicodedata.category(char) in ("Mn", "Mc", "Me", "Cn") or "\u1160" <= char <= "\u11ff")
+
+
+def cut_before(text: str, at: int, least: int = 0) -> int:
+    """The last place from ``least`` to ``at`` where ``text`` may be cut; ``least`` if there is none."""
+    while least < at < len(text) and _joined(text[at]):
+        at -= 1
+    return at
+
+
+def cut_after(text: str, at: int) -> int:
+    """The first place from ``at`` on where ``text`` may be cut; its end if there is none."""
+    while at < len(text) and _joined(text[at]):
+        at += 1
+    return at
+
+
 class Tokens:
     """Token ids with the code points of the text that each stands for."""
 
@@ -250,7 +276,8 @@ class TreeEncoder:
             return _concat((left, right))  # no token spans ASCII white space
         width = self.window
         while True:
-            lo, hi = max(begin, middle - width), min(end, middle + width)
+            lo = at + cut_before(text, max(begin, middle - width) - at, begin - at)
+            hi = min(end, at + cut_after(text, min(end, middle + width) - at))
             inner = self._direct(text[lo - at : hi - at], lo)
             a = (0, 0) if lo == begin else _agreed(left, inner, lo, middle, last=True)
             b = (len(right), len(inner)) if hi == end else _agreed(right, inner, middle, hi, last=False)
@@ -265,7 +292,11 @@ class TreeEncoder:
         def tree(begin: int, end: int) -> Tokens:
             if end - begin <= self.leaf:
                 return self._leaf(text[begin:end], at + begin)
-            middle = (begin + end) // 2
+            middle = cut_before(text, (begin + end) // 2, begin)
+            if middle == begin:
+                middle = cut_after(text, (begin + end) // 2)
+            if middle >= end:
+                return self._leaf(text[begin:end], at + begin)
             left, right = tree(begin, middle), tree(middle, end)
             return self.join(left, right, text, at, at + begin, at + middle, at + end)
 
@@ -345,8 +376,13 @@ def _long_texts(texts: DataFrame, path: str, schema: str) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, text in zip(batch["key"], batch["text"], strict=True):
-                for at in range(0, len(text), PART_CHARS):
-                    yield pd.DataFrame({"key": [key], "at": [at], "part": [text[at : at + PART_CHARS]]})
+                at = 0
+                while at < len(text):
+                    end = cut_before(text, at + PART_CHARS, at)
+                    if end == at:
+                        end = cut_after(text, at + PART_CHARS)
+                    yield pd.DataFrame({"key": [key], "at": [at], "part": [text[at:end]]})
+                    at = end
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)

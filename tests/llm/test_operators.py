@@ -250,6 +250,29 @@ def test_tree_equals_library():
         assert tree.word_ids(t).tolist() == ids
 
 
+MARKED = ["e\u0301\u0323", "a\u0323\u0302", "\u1112\u1161\u11ab", "\u0915\u093c", "\u0f71\u0f72", "\u0345\u0301", "q\u0307\u0323\u0338", "x", "I\u0307", "\u0301" * 40, "<\u0338", "'", "s", "7", "\U00016d63\U00016d67"]
+
+
+@pytest.mark.parametrize("leaf", [64, 4096])
+def test_tree_equals_library_with_combining_marks(leaf):
+    tree = bpe.TreeEncoder(bpe.default_path(), leaf)
+    for seed in range(150):
+        r = random.Random(seed)
+        few = r.sample(MARKED, r.randrange(1, len(MARKED)))
+        size = r.choice([70, 300, 1500]) if leaf == 64 else r.choice([1500, 9000])
+        text = "".join(r.choice(few) for _ in range(size))
+        text = text[r.randrange(3) :]
+        assert tree.tokens(text).ids.tolist() == tree._direct(text, 0).ids.tolist(), (seed, leaf)
+
+
+def test_parts_are_cut_where_normalisation_does_not_act(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "PART_CHARS", 100)
+    rows = [(k, "".join(random.Random(k).choice(MARKED) for _ in range(400))) for k in range(8)] + [(8, "\u0301" * 350)]
+    tree = bpe.TreeEncoder(bpe.default_path())
+    found = bpe.encode_texts(spark.createDataFrame(rows, "doc_id int, text string"), bpe.default_path()).collect()
+    assert {r.doc_id: list(r.ids) for r in found} == {k: tree._direct(t, 0).ids.tolist() for k, t in rows}
+
+
 def test_token_files(spark, docs, by_id, empty):
     path, folder = bpe.default_path(), shared_folder(spark, "test")
     one = docs.dropDuplicates(["doc_id"])
