@@ -250,12 +250,14 @@ def _spread(facing: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -
     compared once, not for each list that they share.
     """
     own = [F.max(F.when(F.col("node") == F.col("c"), F.col(b))).alias(b) for b in _BITS]
-    whole = sets.groupBy("c").agg(F.max("r").alias("reach"), F.max("n").alias("most"), *own)
+    whole = sets.groupBy("c").agg(F.max("r").alias("reach"), F.max("n").alias("most"), F.count("*").alias("k"), *own)
     apart = _apart("x", "y")
     pairs = facing.distinct().alias("p").join(whole.alias("x"), F.expr("p.c = x.c"))
     pairs = pairs.join(whole.alias("y"), F.expr(f"p.d = y.c and {_similar(f'{apart} - x.reach - y.reach', 'x.most + y.most', percent)}"))
-    pairs = pairs.select(F.col("p.c").alias("a"), F.col("p.d").alias("b"), F.col("x.reach").alias("cr"), F.col("y.reach").alias("dr"), F.col("x.most").alias("cm"), F.col("y.most").alias("dm"))
-    near = _differences(pairs, full).filter(_similar("apart - cr - dr", "cm + dm", percent))
+    # ``c`` is the component with fewer members, which are looked up first.
+    small, large = (f"if(x.k {sign} y.k, {{}}, {{}})" for sign in ("<=", ">"))
+    ends = [f"{end.format(f'x.{old}', f'y.{old}')} AS {new}" for end, names in ((small, ("a", "cr", "cm")), (large, ("b", "dr", "dm"))) for old, new in zip(("c", "reach", "most"), names, strict=True)]
+    near = _differences(pairs.selectExpr(*ends), full).filter(_similar("apart - cr - dr", "cm + dm", percent))
     near = written(near.select(F.col("a").alias("c"), F.col("b").alias("d"), "apart", "dr", "dm"), "near")
 
     ones = near.alias("f").join(sets.alias("x"), F.expr(f"f.c = x.c and {_similar('abs(f.apart - x.r) - f.dr', 'x.n + f.dm', percent)}"))
