@@ -7,7 +7,8 @@ group, texts that differ make a slot, and what only one side has becomes optiona
 
 The wrapper tells what the template repeats and what a page fills in. Every page is
 aligned with the wrapper of its host, and blocks that consist of the template's texts are
-left out, inside article elements too. Names of elements and classes are hints beside it:
+left out, inside article elements too: there headings stay, as articles share them, and all
+stays if most blocks are constant, as such pages are copies of one article. Names of elements and classes are hints beside it:
 menus, headers, footers, sidebars, notices, adverts, forms and comments are left out
 everywhere, and of a page with an article element only that is taken.
 """
@@ -19,6 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,8 +55,7 @@ MARKS = frozenset(
     "topbar widget widgets alert complementary contentinfo search site-header".split()
 )
 ARTICLE = frozenset(("article", "main"))
-# Longest block of tokens that is tried as the repeated group.
-LONGEST_GROUP = 12
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # So many different pages of a host must have a text before it counts as the template's:
 # inside an article more, as a few articles can agree in a sentence.
 LEAST_PAGES, LEAST_ARTICLES = 2, 10
@@ -129,7 +130,10 @@ def _texts(node: list) -> list[str]:
 def fold(nodes: list) -> list:
     """Replace neighbours that repeat by one repeated group, short groups first."""
     keys = [_key(x) for x in nodes]
-    for size in range(1, LONGEST_GROUP + 1):
+    size = 0
+    while 2 * (size := size + 1) <= len(nodes):
+        if not _repeats(keys, size):
+            continue
         out, i = [], 0
         while i < len(nodes):
             n = 1
@@ -149,6 +153,25 @@ def fold(nodes: list) -> list:
     return nodes
 
 
+def _repeats(keys: list[str], size: int) -> bool:
+    """Whether some ``size`` neighbours are followed by their like.
+
+    Then ``size`` places in a row equal those ``size`` further on. One of them is a multiple of
+    ``size``, so only these are tried, and all sizes together take about n log n steps.
+    """
+    last = len(keys) - size
+    for m in range(0, last, size):
+        if keys[m] == keys[m + size]:
+            low = high = m
+            while high < last and high < m + size and keys[high] == keys[high + size]:
+                high += 1
+            while low > 0 and high - low < size and keys[low - 1] == keys[low - 1 + size]:
+                low -= 1
+            if high - low >= size:
+                return True
+    return False
+
+
 def _key(node: list) -> str:
     """What two nodes must have in common to be aligned."""
     return "+(" + " ".join(_key(x) for x in node[1] if x[0] != "?") + ")" if node[0] == "+" else "<" + node[0] + ">"
@@ -165,20 +188,38 @@ def _matches(a: list, b: list) -> list[tuple[int, int]]:
         j += 1
     p, q = x[i : len(x) - j], y[i : len(y) - j]
     # Bit vectors of the suffixes' longest common subsequences: zeros count what is common.
+    # Every ``step``-th is kept and those between are worked out again, so that two long pages
+    # don't take memory by the product of their lengths.
     at: dict[str, int] = {}
     for r, key in enumerate(reversed(p)):
         at[key] = at.get(key, 0) | 1 << r
     full = (1 << len(p)) - 1
-    row = full
-    rows = [row]
-    for key in reversed(q):
-        m = at.get(key, 0)
-        row = ((row + (row & m)) | (row & ~m)) & full
-        rows.append(row)
+    masks = [at.get(key, 0) for key in reversed(q)]
+    step = isqrt(len(q)) + 1
+
+    def block(row: int, k: int) -> list[int]:
+        rows = [row]
+        for m in masks[k * step : (k + 1) * step]:
+            row = ((row + (row & m)) | (row & ~m)) & full
+            rows.append(row)
+        return rows
+
+    kept = [full]
+    for k in range(len(q) // step):
+        kept.append(block(kept[-1], k)[-1])
+    near: dict[int, list[int]] = {}
+
+    def row_at(t: int) -> int:
+        k = t // step
+        if k not in near:
+            # The places looked at only go down; a block and the one before are in use.
+            near.pop(k + 2, None)
+            near[k] = block(kept[k], k)
+        return near[k][t - k * step]
 
     def best(r: int, s: int) -> int:
         n = len(p) - r
-        return n - (rows[len(q) - s] & ((1 << n) - 1)).bit_count()
+        return n - (row_at(len(q) - s) & ((1 << n) - 1)).bit_count()
 
     out, r, s = [(k, k) for k in range(i)], 0, 0
     while r < len(p) and s < len(q):
@@ -329,7 +370,8 @@ def main_text(page: list[tuple[str, str, bool]], wrapper: Wrapper) -> str:
     inside = _article(page)
     template = wrapper.template(page)
     least = LEAST_PAGES if inside is None else LEAST_ARTICLES
-    blocks: list[str] = []
+    # The blocks, and which of them have a text of their own.
+    blocks: list[tuple[str, bool]] = []
     part: list[str] = []
     own: list[bool] = []
     # Open elements, and whether they or one around them is left out.
@@ -345,8 +387,8 @@ def main_text(page: list[tuple[str, str, bool]], wrapper: Wrapper) -> str:
 
     def end() -> None:
         block = _SPACES.sub(" ", "".join(part)).strip()
-        if block and any(own):
-            blocks.append(block)
+        if block:
+            blocks.append((block, any(own)))
         part.clear()
         own.clear()
 
@@ -354,7 +396,8 @@ def main_text(page: list[tuple[str, str, bool]], wrapper: Wrapper) -> str:
         if label in ("", " "):
             if not (stack and stack[-1][1]) and (inside is None or k in inside):
                 part.append(entities.unescape(text) if label == "" else text)
-                own.append(label == "" and template.get(k, 0) < least)
+                constant = template.get(k, 0) >= least and (inside is None or not any(name in HEADINGS for name, _ in stack))
+                own.append(label == "" and not constant)
             continue
         if text in BLOCKS:
             end()
@@ -372,7 +415,9 @@ def main_text(page: list[tuple[str, str, bool]], wrapper: Wrapper) -> str:
             kept = text in ("body", "html", "article", "main")
             stack.append((text, bool(stack and stack[-1][1]) or (out and not kept)))
     end()
-    return "\n".join(blocks)
+    # Pages that agree in most of an article are copies, and tell nothing of the template.
+    copies = inside is not None and 2 * sum(not new for _, new in blocks) > len(blocks)
+    return "\n".join(block for block, new in blocks if new or copies)
 
 
 def _article(page: list[tuple[str, str, bool]]) -> set[int] | None:
