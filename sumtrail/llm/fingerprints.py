@@ -5,6 +5,8 @@ to two bases. The difference of two entries is the hash of a span, so any two sp
 can be compared, and the longest common extension found by binary search. A
 fingerprint is the text's length and hash, and the smallest hashes of its spans of
 SPAN code points; the likeness of two fingerprints estimates how much of these agree.
+Texts of fewer than SHORT code points, of which an edit leaves few such spans, also have
+the smallest hashes of their spans of SHORT_SPANS code points, and are compared by these.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 69_069_693)
 SPAN = 24
 SKETCH = 32
+SHORT = 4 * SPAN
+SHORT_SPANS = (2, 4, 8)
 _P, _S = U64(PRIME), U64(31)
 
 
@@ -104,19 +108,28 @@ def _least(values: np.ndarray, k: int = SKETCH) -> np.ndarray:
     return np.unique(values)[:k]
 
 
-def _written(n: int, whole: tuple[int, ...], sketch: np.ndarray) -> str:
-    return f"{n:x}-{whole[0]:08x}{whole[1]:08x}-" + sketch.astype(">u4").tobytes().hex()
+def _written(n: int, whole: tuple[int, ...], *sketches: np.ndarray) -> str:
+    return "-".join((f"{n:x}", f"{whole[0]:08x}{whole[1]:08x}", *(s.astype(">u4").tobytes().hex() for s in sketches)))
+
+
+def _short(hashes: PrefixHash) -> list[np.ndarray]:
+    """The sketch that only short texts have."""
+    return [_least(np.concatenate([hashes.spans(k) for k in SHORT_SPANS]))] if hashes.n < SHORT else []
 
 
 def likeness(one: str, two: str) -> float:
     """Between 0 and 1: the estimated share of spans that two texts have in common.
 
-    1 for equal fingerprints, those of empty texts too. Texts that are too short for a
-    span are alike only if they are equal.
+    1 for equal fingerprints, those of empty texts too. Two short texts are compared by their
+    short spans; one of fewer than SPAN code points has nothing in common with a text that
+    isn't short.
     """
     if one == two:
         return 1.0
-    a, b = (np.frombuffer(bytes.fromhex(x.rsplit("-", 1)[1]), dtype=">u4") for x in (one, two))
+    # The last sketch that both have.
+    parts = [x.split("-")[2:] for x in (one, two)]
+    k = min(map(len, parts)) - 1
+    a, b = (np.frombuffer(bytes.fromhex(p[k]), dtype=">u4") for p in parts)
     union = np.unique(np.concatenate((a, b)))[:SKETCH]
     if not len(union):
         return 0.0
@@ -130,7 +143,7 @@ class Fingerprint:
         self.text = text
         self.hash = PrefixHash(text)
         self.spans = self.hash.spans()
-        self.written = _written(self.hash.n, self.hash.span(0, self.hash.n), _least(self.spans))
+        self.written = _written(self.hash.n, self.hash.span(0, self.hash.n), _least(self.spans), *_short(self.hash))
 
     def edited(self, following: Fingerprint) -> tuple[str, str]:
         """Text and fingerprint when the second half is replaced by the start of another.
@@ -146,7 +159,8 @@ class Fingerprint:
             whole.append((int(mine[keep]) + int(theirs[take]) * int(p.upto(keep + 1)[0][keep])) % PRIME)
         seam = PrefixHash(text[max(0, keep - SPAN + 1) : keep + SPAN - 1]).spans()
         own, other = self.spans[: max(0, keep - SPAN + 1)], following.spans[: max(0, take - SPAN + 1)]
-        return text, _written(keep + take, tuple(whole), _least(np.concatenate((own, seam, other))))
+        short = _short(PrefixHash(text)) if keep + take < SHORT else []
+        return text, _written(keep + take, tuple(whole), _least(np.concatenate((own, seam, other))), *short)
 
 
 _RESULT = (
