@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -324,6 +325,26 @@ def test_fingerprints(docs, by_id, empty):
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
+def _spans(text):
+    sizes = fingerprints.SHORT_SPANS if len(text) < fingerprints.SHORT else (fingerprints.SPAN,)
+    return {text[i : i + k] for k in sizes for i in range(len(text) - k + 1)}
+
+
+def test_likeness_against_all_spans():
+    r = random.Random(9)
+    for n in [*range(2, 60), 95, 96, 130, 400, 3000]:
+        one, other = ("".join(r.choices("abcdefghij klmno", k=n)) for _ in range(2))
+        for cut in (n // 4, n // 2, n - 1):
+            two = one[: n - cut] + other[:cut]
+            a, b = _spans(one), _spans(two)
+            got = fingerprints.likeness(fingerprints.Fingerprint(one).written, fingerprints.Fingerprint(two).written)
+            # 32 values estimate it; small unions are exact.
+            assert abs(got - len(a & b) / len(a | b)) <= (0.4 if len(a | b) > fingerprints.SKETCH else 1e-9)
+    half = "Half of these thirty-nine letters stay."
+    assert len(half) == 39 and fingerprints.likeness(*(fingerprints.Fingerprint(t).written for t in (half, half[:20] + "x" * 19))) > 0.1
+    assert fingerprints.likeness(*(fingerprints.Fingerprint(t).written for t in ("", "a"))) == 0
+
+
 def test_prefix_hash():
     a, b = fingerprints.PrefixHash("xxhello world"), fingerprints.PrefixHash("hello words")
     assert a.equal(2, b, 0, 9) and not a.equal(2, b, 0, 10)
@@ -390,6 +411,57 @@ def test_wrapper_decides_inside_articles(spark):
         assert got[200 + k].split("\n") == [f"{k} {i}" for i in range(2 + k % 3)]
 
 
+@pytest.mark.parametrize("n", [2, 9, 10, 12, 40])
+def test_headings_of_all_articles_stay(n):
+    body = "<article><h1>Title {k}</h1><h2>Introduction</h2><p>Own {k}</p><h2><b>Conclusion</b></h2><p>End {k}</p><p>All rights reserved by Foo</p></article>"
+    pages = [wrappers.tokens(body.format(k=k)) for k in range(n)]
+    wrapper = wrappers.Wrapper(wrappers.infer([wrappers.describe(wrappers.page_nodes(p)) for p in pages]))
+    for k, page in enumerate(pages):
+        # Fewer articles than ten may agree in a sentence.
+        licence = "\nAll rights reserved by Foo" * (n < wrappers.LEAST_ARTICLES)
+        assert wrappers.main_text(page, wrapper) == f"Title {k}\nIntroduction\nOwn {k}\nConclusion\nEnd {k}{licence}"
+
+
+def test_copies_with_an_edit_are_no_template():
+    body = "<article><h1>Title</h1>" + "".join(f"<p>Paragraph {i}</p>" for i in range(6)) + "<p>Edited {k}</p></article>"
+    pages = [wrappers.tokens(body.format(k=k)) for k in range(12)]
+    wrapper = wrappers.Wrapper(wrappers.infer([wrappers.describe(wrappers.page_nodes(p)) for p in pages]))
+    for k, page in enumerate(pages):
+        assert wrappers.main_text(page, wrapper).split("\n") == ["Title", *(f"Paragraph {i}" for i in range(6)), f"Edited {k}"]
+
+
+def test_repeated_groups_of_any_size():
+    item = "<li>" + "".join(f"<{t}>{{k}}</{t}>" for t in ("b", "i", "em", "u", "s", "tt", "big")) + "</li>"
+    nodes = wrappers.page_nodes(wrappers.tokens("<ul>" + "".join(item.format(k=k) for k in range(3)) + "</ul>"))
+    assert [x[0] for x in nodes] == ["ul", "+", "/ul"] and len(nodes[1][1]) == 23
+    r = random.Random(8)
+    for _ in range(300):
+        keys = r.choices("ab", k=r.randrange(12))
+        for size in range(1, 7):
+            plain = any(keys[i : i + size] == keys[i + size : i + 2 * size] for i in range(len(keys) - 2 * size + 1))
+            assert wrappers._repeats(keys, size) == plain
+
+
+def test_alignment_is_longest_and_bounded():
+    r = random.Random(7)
+    for _ in range(200):
+        x, y = ([[c] for c in r.choices("abcd", k=r.randrange(40))] for _ in range(2))
+        pairs = wrappers._matches(x, y)
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) == best[-1][-1] and all(x[i] == y[j] for i, j in pairs)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+    x, y = ([[c] for c in r.choices("abcdefgh", k=20_000)] for _ in range(2))
+    tracemalloc.start()
+    wrappers._matches(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All bit vectors at once would take 53 MB.
+    assert peak < 20 << 20
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
