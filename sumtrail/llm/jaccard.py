@@ -313,13 +313,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     empty set and links with nothing. Two documents link when their similarity is at
     least 0.75; the component is the smallest id reached by links.
 
-    Rows with a null id have no result. Rows that repeat an id have a result each, and each text is
-    judged for itself. Other columns of ``docs`` are not read.
+    Rows with a null id have no result. An id has one result for each of its different texts, which
+    are judged for themselves; rows that repeat id and text count once. Other columns of ``docs`` are not read.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id is not null")
     if _distinct(docs):
         return _components(docs, size)
-    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = written(docs.dropDuplicates().withColumn("row", F.monotonically_increasing_id()), "rows")
     found = _components(rows.select(F.col("row").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id"), "row")
     least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"))
     return found.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
@@ -368,4 +368,4 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_components(given, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
     chosen = found.join(given.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("least"))
     keep = chosen.select(F.col("least.__row").alias("__row"))
-    return given.join(keep, "__row", "left_semi").union(rows.filter("doc_id is null").select(*given.columns)).select(*own)
+    return given.join(keep, "__row", "left_semi").select(*own).union(rows.filter("doc_id is null").select(*own))
