@@ -251,6 +251,34 @@ def test_tree_equals_library():
         assert tree.word_ids(t).tolist() == ids
 
 
+def test_words_of_a_batch_are_looked_up_once():
+    r = random.Random(12)
+    tree = bpe.TreeEncoder(bpe.default_path())
+    own = ["".join(r.choice("etaoinsrhABZ") for _ in range(r.randrange(1, 14))) for _ in range(300)] + ["it's,", "caf\u00e9.", "\u00c9t\u00e9", "a1b2", "%%%", "x" * 64, "y" * 65, "<|endoftext|>"]
+    batch = ["", " \n"] + [" ".join(r.choice(own) for _ in range(200)) for _ in range(20)] + ["", "z" * 200]
+    looked, direct, numbers, encode = [], [], tree._numbers, tree.tokenizer.encode
+
+    class Library:
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode(self, text, **more):
+            direct.append(text)
+            return encode(text, **more)
+
+    tokenizer, tree.tokenizer = tree.tokenizer, Library()
+    tree._numbers = lambda words: (looked.append(words), numbers(words))[1]
+    got = [x.tolist() for x in tree.batch_ids(batch)]
+    assert got == [encode(t, add_special_tokens=False).ids for t in batch]
+    assert all(len(set(x)) == len(x) for x in looked[-1:])
+    tree._forget()
+    direct.clear()
+    plain = [" ".join(w for w in own if w.isascii() and w.isalpha() and len(w) <= 64)] * 3
+    assert [x.tolist() for x in tree.batch_ids(plain)] == [encode(t, add_special_tokens=False).ids for t in plain]
+    # Words of ASCII letters take the model alone.
+    assert not direct
+
+
 MARKED = ["e\u0301\u0323", "a\u0323\u0302", "\u1112\u1161\u11ab", "\u0915\u093c", "\u0f71\u0f72", "\u0345\u0301", "q\u0307\u0323\u0338", "x", "I\u0307", "\u0301" * 40, "<\u0338", "'", "s", "7", "\U00016d63\U00016d67"]
 
 
