@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sumtrail.llm import bottomk, merkle, negatives, sha
+from sumtrail.llm.folders import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -62,6 +64,28 @@ def test_near_duplicates_of_many_like_texts(spark):
     assert sorted(tuple(x) for x in got) == brute_groups(rows)
 
 
+def test_near_duplicates_compare_few_pairs(spark, monkeypatch):
+    r, words, rows, seen = random.Random(8), [f"w{k}" for k in range(150)], [], {}
+    edits = r.sample(range(150), 16)
+    for k in range(60):
+        own = words.copy()
+        for at in r.sample(edits, r.randrange(9)):
+            own[at] = f"new{at}"
+        rows.append((k, " ".join(own)))
+
+    def kept(df, name):
+        seen.setdefault(name, []).append(out := written(df, name))
+        return out
+
+    monkeypatch.setattr(bottomk, "written", kept)
+    got = bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(tuple(x) for x in got) == brute_groups(rows)
+    # Each pair once, and none of components that the first comparison has joined.
+    pairs, joined = seen["candidates"][0], seen["closest"][0].select(F.col("a").alias("c"), F.col("b").alias("d"))
+    assert joined.count() and pairs.count() == pairs.distinct().count()
+    assert pairs.join(joined, ["c", "d"]).count() == 0
+
+
 def test_union_matches_equal_the_sketch_of_the_union():
     r = random.Random(5)
     for _ in range(200):
