@@ -86,6 +86,27 @@ def test_near_duplicates_compare_few_pairs(spark, monkeypatch):
     assert pairs.join(joined, ["c", "d"]).count() == 0
 
 
+def test_pairs_of_many_shared_lists_meet_once(spark):
+    r, rows = random.Random(9), []
+    # Components of one set each but for 90 to 94; sets 7, 8 and 9 are too far from the others.
+    part = {k: 90 if 90 <= k < 95 else k for k in (*range(20), *range(90, 95))}
+    bits = {k: [-1 if k in (7, 8, 9) else 1 << k % 3] * bottomk.LONGS for k in part}
+    lists = {h: r.sample(sorted(part), 16) for h in range(30)} | {100 + h: [3, 4, 7] for h in range(2)} | {200: [90, 91], 201: [5]}
+    for h, nodes in lists.items():
+        rows += [(h, k, part[k], 100, *bits[k]) for k in nodes]
+    member = spark.createDataFrame(rows, "h bigint, node bigint, c bigint, n bigint, " + ", ".join(f"b{k} bigint" for k in range(bottomk.LONGS)))
+    got = [(x.c, x.d, x.a, x.b) for x in bottomk._facing(member.repartition(3), 85).collect() if x.one]
+    expected, short = set(), 0
+    for h, nodes in lists.items():
+        alone = [k for k in nodes if [part[x] for x in nodes].count(part[k]) == 1]
+        pairs = {(part[a], part[b], a, b) for a in alone for b in alone if part[a] < part[b] and (a in (7, 8, 9)) == (b in (7, 8, 9))}
+        expected |= pairs
+        short += len(pairs) if len(nodes) <= bottomk.PIVOTS else 0
+    assert set(got) == expected and len(got) == len({x for x in got}) + short
+    wide = {(part[a], part[b]) for nodes in lists.values() for a in nodes for b in nodes if part[a] < part[b] and 90 in (part[a], part[b]) and [part[x] for x in nodes].count(90) > 1}
+    assert {(x.c, x.d) for x in bottomk._facing(member, 85).collect() if not x.one} == wide
+
+
 def test_union_matches_equal_the_sketch_of_the_union():
     r = random.Random(5)
     for _ in range(200):
